@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massweave.plans.runtime import broadcast_if_small
+from massweave.plans.runtime import broadcast_if_small, computed_once
 
 #: Seconds in a unit.
 UNIT_SECONDS = {"s": 1.0, "min": 60.0, "h": 3600.0, "ms": 0.001}
@@ -117,7 +117,7 @@ def solve_readings(df: DataFrame, raw: str, nominal: str) -> DataFrame:
     twice.
     """
     factor = {u: F.lit(f) for u, f in UNIT_SECONDS.items()}
-    return (
+    return computed_once(
         df.withColumn("_text", clean_text(F.col(raw)))
         .withColumn("_iso_s", F.regexp_extract("_text", r"^pt(\d+(?:[.,]\d+)?)s$", 1))
         .withColumn("mixed", mixed_seconds(F.col("_text")))
@@ -160,7 +160,7 @@ def settle(df: DataFrame) -> DataFrame:
         o["unit"].alias("unit"),
         o["seconds"].alias("seconds"),
     )
-    return (
+    return computed_once(
         df.withColumn("_best", F.array_min(F.transform("close", key)))
         .withColumn("seconds", F.when(F.col("mixed") > 0, F.col("mixed")).otherwise(F.col("_best.seconds")))
         .withColumn("unit", F.when(F.col("mixed") > 0, F.lit("mixed")).otherwise(F.col("_best.unit")))
@@ -225,16 +225,17 @@ def field_seconds(
     solved = solve_readings(long.select(identity, "_file", "_label", "_nominal", "_f.field", "_f.raw"), "raw", "_nominal").drop("raw")
     sure = F.when(F.col("unique") & F.col("mixed").isNull(), F.get("close", F.lit(0))["unit"])
     counts = [F.count_if(sure == u) for u in UNIT_SECONDS]
+    # Only files with a field that is not unique are asked for their habits.
     usual = (
         solved.groupBy("_file")
-        .agg(F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(u).alias("u")) for n, u in zip(counts, UNIT_SECONDS)])).alias("_m"))
+        .agg(
+            F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(u).alias("u")) for n, u in zip(counts, UNIT_SECONDS)])).alias("_m"),
+            F.count_if(~F.col("unique")).alias("_open"),
+        )
+        .where(F.col("_open") > 0)
         .select("_file", F.when(F.col("_m.n") > 0, F.col("_m.u")).alias("usual"))
     )
-    # Only fields that are not unique need the habits of their file.
-    open_ = F.coalesce(~F.col("unique"), F.lit(False))
-    settled = settle(solved.where(~open_).withColumn("usual", F.lit(None).cast("string")))
-    unsettled = settle(solved.where(open_).join(usual, "_file", "left").select(*solved.columns, "usual"))
-    return settled.unionByName(unsettled).select(
+    return settle(solved.join(usual, "_file", "left")).select(
         identity,
         "field",
         "seconds",

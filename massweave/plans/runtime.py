@@ -47,3 +47,12 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """Hint a broadcast only behind a check of the size; else the planner's choice stays."""
     return F.broadcast(df) if small_enough(df, most_rows) else df
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep the optimiser from inlining the columns of ``df`` into later filters.
+
+    A predicate is never pushed through a generator whose output it reads, so a generator of
+    exactly one row keeps expensive expressions from being evaluated again in every filter.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
