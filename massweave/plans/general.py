@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massweave.operators import intervals, units
+from massweave.operators import hotdeck, intervals, units
 from massweave.plans.runtime import query, table
 
 SEGMENT_COLUMNS = ["trace_id", "rtmin", "rtmax", "mzmin", "mzmax"]
@@ -42,6 +42,25 @@ def p4_seconds(spark: SparkSession, directory: str) -> DataFrame:
     return units.to_seconds(_solved(spark, directory))
 
 
+FILLED_FIELDS = ("BS4_1", "LL_1", "Mix_1")
+
+
+def _filled(spark: SparkSession, directory: str) -> DataFrame:
+    return hotdeck.fill(table(spark, directory, "features_a"), [hotdeck.sample_field(f) for f in FILLED_FIELDS])
+
+
+@query
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Fields without a real value, as the hot deck marks them."""
+    return _filled(spark, directory).select("feature_id", "field")
+
+
+@query
+def p3_filled(spark: SparkSession, directory: str) -> DataFrame:
+    """Filled values with their donors."""
+    return _filled(spark, directory)
+
+
 _LATEST_SEGMENTS = """
   SELECT * FROM (
     SELECT trace_id, rtmin, rtmax, mzmin, mzmax,
@@ -60,12 +79,34 @@ _REACH = f"""WITH latest AS ({_LATEST_SEGMENTS}), sides AS ({_SIDES}),
 starts AS (SELECT trace_id, axis, s, MAX(e) AS e FROM sides GROUP BY trace_id, axis, s),
 marked AS (SELECT *, MAX(e) OVER (PARTITION BY trace_id, axis ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM starts)"""
 
+_SAMPLES = [f"{g}_{k}" for g in ("BS4", "LL", "Mix") for k in (1, 2, 3)]
+_REAL = lambda c: f"CASE WHEN {c} > 0 AND isfinite({c}) THEN {c} END"
+
+_MISSING = f"""WITH latest AS (
+    SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY feature_id ORDER BY loaded_at DESC) AS k FROM features_a) WHERE k = 1),
+  real AS (SELECT feature_id, study, polarity, {", ".join(f"{_REAL(c)} AS {c}" for c in _SAMPLES)} FROM latest),
+  counted AS (SELECT study, v, COUNT(*) AS n FROM (
+    {" UNION ALL ".join(f"SELECT study, {f} AS v FROM real WHERE {f} IS NOT NULL" for f in FILLED_FIELDS)}) GROUP BY study, v),
+  often AS (SELECT study, v FROM counted WHERE n >= {hotdeck.LEAST_REPEATS}),
+  kept AS (SELECT feature_id, study, {", ".join(
+      f"CASE WHEN NOT EXISTS (SELECT 1 FROM often o WHERE o.study = r.study AND o.v = r.{f}) THEN {f} END AS {f}" for f in FILLED_FIELDS)},
+    {", ".join(f"{g}_{k}" for g in ("BS4", "LL", "Mix") for k in (2, 3))} FROM real r),
+  has AS (SELECT study, {", ".join(
+      f"COUNT({g}_1) + COUNT({g}_2) + COUNT({g}_3) > 0 AS has_{g}_1" for g in ("BS4", "LL", "Mix"))} FROM kept GROUP BY study)"""
+
 SQL = {
     "p2_found": f"{_REACH} SELECT trace_id, axis, reach AS gap_from, s AS gap_to FROM marked WHERE s > reach",
     "p2_periods": f"""{_REACH}, numbered AS (SELECT *, SUM(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END)
       OVER (PARTITION BY trace_id, axis ORDER BY s ROWS UNBOUNDED PRECEDING) AS n FROM marked)
     SELECT trace_id, axis, CAST(n AS BIGINT) AS period_no, MIN(s) AS period_from, MAX(e) AS period_to, COUNT(*) AS n_starts
     FROM numbered GROUP BY trace_id, axis, n""",
+    # At the sizes compared, no value comes near the number of repeats by chance.
+    "p3_found": _MISSING
+    + " UNION ALL ".join(
+        f" SELECT feature_id, '{f}' AS field FROM kept JOIN has ON kept.study = has.study WHERE {f} IS NULL AND has_{f}" for f in FILLED_FIELDS
+    )
+    + f""" UNION ALL SELECT feature_id, 'polarity' AS field FROM real
+      WHERE lower(trim(polarity)) NOT IN ({", ".join(repr(x) for x in hotdeck.POSITIVE + hotdeck.NEGATIVE)}) OR polarity IS NULL""",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p4_found": p4_found, "p4_seconds": p4_seconds}
+QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_seconds": p4_seconds}
