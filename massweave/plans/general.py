@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massweave.operators import hotdeck, intervals, units
+from massweave.operators import hotdeck, intervals, schema_drift, units
 from massweave.plans.runtime import query, table
 
 SEGMENT_COLUMNS = ["trace_id", "rtmin", "rtmax", "mzmin", "mzmax"]
@@ -61,6 +61,26 @@ def p3_filled(spark: SparkSession, directory: str) -> DataFrame:
     return _filled(spark, directory)
 
 
+@query
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Changes between consecutive files of each stream."""
+    return schema_drift.changes(table(spark, directory, "export_files"), table(spark, directory, "export_rows"))
+
+
+@query
+def p5_table(spark: SparkSession, directory: str) -> DataFrame:
+    """Records of all files in one table."""
+    return schema_drift.unified(schema_drift.distinct_records(table(spark, directory, "export_rows")))
+
+
+@query
+def p5_versions(spark: SparkSession, directory: str) -> DataFrame:
+    """Schemas of each stream by their fingerprints."""
+    records = schema_drift.distinct_records(table(spark, directory, "export_rows"))
+    schemas = schema_drift.file_schemas(schema_drift.file_columns(records))
+    return schema_drift.schema_versions(schema_drift.consecutive(table(spark, directory, "export_files"), schemas))
+
+
 _LATEST_SEGMENTS = """
   SELECT * FROM (
     SELECT trace_id, rtmin, rtmax, mzmin, mzmax,
@@ -109,4 +129,4 @@ SQL = {
       WHERE lower(trim(polarity)) NOT IN ({", ".join(repr(x) for x in hotdeck.POSITIVE + hotdeck.NEGATIVE)}) OR polarity IS NULL""",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_seconds": p4_seconds}
+QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_seconds": p4_seconds, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions}
