@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massweave.llm import bpe, mix
+from massweave.llm import bpe, mix, truncation
 from massweave.plans.runtime import query, table
 
 
@@ -32,6 +32,18 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mix.shares(*_mixed(spark, directory))
 
 
+@query
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.judged(table(spark, directory, "documents")).where("cut").select("doc_id")
+
+
+@query
+def p8_sources(spark: SparkSession, directory: str) -> DataFrame:
+    """Share of cut texts of each source."""
+    return truncation.by_source(truncation.judged(table(spark, directory, "documents")))
+
+
 SQL: dict[str, str] = {}
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
