@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massweave.llm import bpe, mix, truncation
+from massweave.llm import bpe, match, mix, truncation
 from massweave.plans.runtime import query, table
 
 
+def _matched(spark: SparkSession, directory: str) -> DataFrame:
+    return match.match(table(spark, directory, "features_a"), table(spark, directory, "features_b"))
+
+
+@query
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of rows that are the same feature."""
+    return _matched(spark, directory).select("feature_id", "peak_id")
+
+
+@query
+def p1_pairs(spark: SparkSession, directory: str) -> DataFrame:
+    """The pairs with their rule and confidence."""
+    return _matched(spark, directory)
+
+
 @query
 def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Token ids of every document."""
@@ -46,4 +62,4 @@ def p8_sources(spark: SparkSession, directory: str) -> DataFrame:
 
 SQL: dict[str, str] = {}
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sources": p8_sources}
