@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from massweave.config import Tolerances
 from massweave.functions.arrays import with_correlation
+from massweave.plans.runtime import computed_once
 
 
 def delta_mz_ppm(mz_a: Column, mz_b: Column) -> Column:
@@ -33,7 +34,7 @@ def confidence(ppm: Column, seconds: Column, corr: Column, tol: Tolerances) -> C
 
 def scored(pairs: DataFrame, tol: Tolerances) -> DataFrame:
     """``(idx_a, idx_b, delta_mz_ppm, delta_rt, intensity_corr, confidence)`` from pairs with ``x_a`` and ``x_b``."""
-    with_r = with_correlation(pairs, "x_a", "x_b", "intensity_corr", tol.corr_method)
+    with_r = computed_once(with_correlation(pairs, "x_a", "x_b", "intensity_corr", tol.corr_method).drop("x_a", "x_b"))
     slim = with_r.select(
         "idx_a",
         "idx_b",

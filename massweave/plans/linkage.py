@@ -15,7 +15,7 @@ from massweave.config import StatTestParams, Tolerances
 from massweave.functions.arrays import log1p_if, row_mean_imputed, with_correlation
 from massweave.operators import assignment, band_join, drift, ingest, results, roles, scoring, significance
 from massweave.plans.align import EDGE_METRICS, align
-from massweave.plans.runtime import query, table
+from massweave.plans.runtime import cut_lineage, query, table
 
 SAMPLES = [f"s{k}" for k in range(6)]
 TOL = Tolerances()
@@ -54,7 +54,8 @@ def _pairs(spark: SparkSession, directory: str, tol: Tolerances = TOL) -> DataFr
 
 
 def _edges(spark: SparkSession, directory: str) -> DataFrame:
-    return scoring.correlation_filter(scoring.scored(_pairs(spark, directory), TOL), TOL, len(SAMPLES))
+    """Filtered pairs, written once as the whole plan does: several steps read them."""
+    return cut_lineage(scoring.correlation_filter(scoring.scored(_pairs(spark, directory), TOL), TOL, len(SAMPLES)))
 
 
 def _chosen(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
