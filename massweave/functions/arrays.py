@@ -34,7 +34,7 @@ def with_correlation(df: DataFrame, left: str, right: str, out: str = "r", metho
     step = step.withColumn("_ok", usable)
     if method == "spearman":
         step = step.withColumn("_a", F.when(F.col("_ok"), _ranks(F.col("_a")))).withColumn("_b", F.when(F.col("_ok"), _ranks(F.col("_b"))))
-    step = step.withColumn("_ma", _sum(F.col("_a")) / F.size("_p")).withColumn("_mb", _sum(F.col("_b")) / F.size("_p"))
+    step = step.withColumn("_ma", F.try_divide(_sum(F.col("_a")), F.size("_p"))).withColumn("_mb", F.try_divide(_sum(F.col("_b")), F.size("_p")))
     zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
     sums = F.aggregate(
         F.arrays_zip("_a", "_b"),
