@@ -54,66 +54,68 @@ def split_text(text: str) -> list[str]:
 class PerfectHash:
     """Minimal perfect hash of byte strings by hash and displace.
 
-    Keys fall into buckets; the largest buckets first get the smallest displacement (a
-    multiplier and an offset in one number) that sends all their keys to free slots.  There
-    are exactly as many slots as keys.
+    Keys fall into buckets; the largest buckets first get the smallest displacement that
+    sends all their keys to free slots, and buckets of one key are given a free slot outright.
+    There are exactly as many slots as keys.
     """
 
-    def __init__(self, keys: list[bytes], per_bucket: int = 4):
+    #: Marks a displacement that is a slot.
+    _OUTRIGHT = np.uint64(1 << 63)
+
+    def __init__(self, keys: list[bytes], per_bucket: int = 4, most_tries: int = 1 << 20):
         self.n = len(keys)
         self.buckets = max(1, -(-self.n // per_bucket))
         self.shift = np.zeros(self.buckets, np.uint64)
-        self.slot_of = np.zeros(self.n, np.int32)
+        self.slot_of = np.zeros(self.n, np.int64)
         if not keys:
             return
-        bucket, a, b = self._parts(self._hashes(keys))
+        h = self._hashes(keys)
+        bucket = self._bucket(h)
         order = np.argsort(bucket, kind="stable")
         starts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         sizes = np.diff(starts)
         free = np.ones(self.n, bool)
-        n = np.uint64(self.n)
         for k in np.argsort(-sizes, kind="stable"):
             members = order[starts[k] : starts[k + 1]]
             if len(members) < 2:
                 break
-            base = np.uint64(0)
-            while True:
-                tries = base + np.arange(256, dtype=np.uint64)
-                slots = (a[members][:, None] + (tries // n)[None, :] * b[members][:, None] + (tries % n)[None, :]) % n
+            for base in range(0, most_tries, 256):
+                tries = np.arange(base, base + 256, dtype=np.uint64)
+                slots = self._slot(h[members][:, None], tries[None, :])
                 good = free[slots].all(axis=0)
-                if good.any():
-                    ordered = np.sort(slots, axis=0)
-                    good &= (ordered[1:] != ordered[:-1]).all(axis=0)
+                ordered = np.sort(slots, axis=0)
+                good &= (ordered[1:] != ordered[:-1]).all(axis=0)
                 hit = int(np.argmax(good))
                 if good[hit]:
                     break
-                base += np.uint64(256)
-                if base > np.uint64(1 << 31):
-                    raise ValueError("keys of the perfect hash are not distinct")
+            else:
+                raise ValueError("keys of the perfect hash are not distinct")
             self.shift[k] = tries[hit]
             free[slots[:, hit]] = False
             self.slot_of[members] = slots[:, hit]
-        # Buckets of one key take the slots that are left.
         alone = np.flatnonzero(sizes == 1)
-        members, left = order[starts[alone]], np.flatnonzero(free).astype(np.uint64)
-        self.shift[alone] = (left + n - a[members]) % n
-        self.slot_of[members] = left
+        left = np.flatnonzero(free)
+        self.shift[alone] = left.astype(np.uint64) | self._OUTRIGHT
+        self.slot_of[order[starts[alone]]] = left
 
     @staticmethod
     def _hashes(keys: Iterable[bytes]) -> np.ndarray:
         return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
 
-    def _parts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # Three nearly independent values from one hash.
-        n = np.uint64(max(self.n, 2))
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (h >> np.uint64(20)) % np.uint64(self.buckets), mixed % n, np.uint64(1) + (mixed >> np.uint64(33)) % (n - np.uint64(1))
+    def _bucket(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def _slot(self, h: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        x = h + (shift + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) % np.uint64(self.n)).astype(np.int64)
 
     def lookup(self, keys: list[bytes]) -> np.ndarray:
         """The only slot where each key can lie; the caller compares the key."""
-        bucket, a, b = self._parts(self._hashes(keys))
-        n, shift = np.uint64(max(self.n, 1)), self.shift[bucket]
-        return ((a + (shift // n) * b + shift % n) % n).astype(np.int64)
+        h = self._hashes(keys)
+        shift = self.shift[self._bucket(h)]
+        return np.where(shift & self._OUTRIGHT, (shift & ~self._OUTRIGHT).astype(np.int64), self._slot(h, shift))
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
