@@ -7,8 +7,8 @@
    limit of the source.
 2. *Endings.*  Texts whose last line is broken off are cut: a change whose last part has fewer
    lines than its heading announces, a file heading without its change, a mail without its
-   signature, a commit heading without its message, a last word that ends no whole line of
-   the corpus in the same way.  A mark of omission counts only at a limit or on a text that
+   signature, a commit heading without its message, a binary patch without its end, a number
+   inside an open bracket, a last word that ends no whole line of the corpus in the same way.  A mark of omission counts only at a limit or on a text that
    its source reported as longer, since messages may end in dots by nature.  A text at a limit
    is cut unless it ends the way whole texts of its source end.
 
@@ -158,6 +158,10 @@ def inspect(text: str) -> tuple[bool, bool, bool, str | None, str | None, str |
         broken = not _WHOLE.search(plain)
     elif open_ and layout == "forge_mirror" and "\n\n" not in plain:
         broken = True
+    elif open_ and last[-1:].isdigit() and last.count("(") > last.count(")"):
+        broken = True
+    elif "GIT binary patch" in plain and "HcmV?d00001" not in plain[plain.rindex("GIT binary patch") :]:
+        broken = True
     key = ending_key(last) if open_ and not broken and layout != "mail_patch" and not _WHOLE.search(plain) else None
     return open_, broken, bool(_WHOLE.search(plain)), found[0].strip() if found else None, key, layout
 
