@@ -256,7 +256,10 @@ def judged(documents: DataFrame) -> DataFrame:
         .withColumn("_off", F.array_min(offs))
         .withColumn("at_limit", F.coalesce((F.col("_off") == 0) | (F.col("_off") <= F.when(F.col("half"), 3).otherwise(2)), F.lit(False)))
         .drop("_at", "_s")
-        .join(whole, "key", "left")
+        # Texts without a key find nothing; a key of their own keeps them from meeting in one task.
+        .withColumn("_key", F.coalesce("key", F.concat(F.lit("\u0000"), F.col("doc_id").cast("string"))))
+        .join(whole.withColumnRenamed("key", "_key"), "_key", "left")
+        .drop("_key")
     )
     closed = (
         placed.where(~F.col("at_limit") & ~F.col("broken") & ~F.col("blank"))
