@@ -5,7 +5,7 @@ in the field.  Records are hash-blocked on their observed mixed features (study,
 mode, and the log levels of two companion samples, cut into steps); inside a block they lie
 sorted by their level, and the closest donors are looked for among a fixed number of
 neighbours on both sides, so no pairs are formed and a crowded study falls apart into many
-blocks.  The value is the median of the donors weighted by closeness.  What a block cannot
+blocks; a study of very many records is first dealt out at random to several such sets.  The value is the median of the donors weighted by closeness.  What a block cannot
 fill falls back to ever wider blocks, at last to the study's own weighted quantile.  A missing
 mode is the majority of the same study and group of peaks, then of the study.
 
@@ -46,6 +46,9 @@ OVER_CHANCE = 20.0
 #: Smallest difference between two written intensities.
 RESOLUTION = 1e-4
 
+#: Records of a study that share its blocks; a larger study is dealt out at random to several sets of blocks.
+STUDY_ROWS = 1_000_000
+
 #: Donors copied from, and neighbours looked at on each side.
 DONORS = 5
 NEIGHBOURS = 12
@@ -125,7 +128,7 @@ def _weighted_median(near: Column) -> Column:
 
 def _blocks(depth: int) -> list[str]:
     """Columns of a block, widest at depth 2."""
-    return [["study", "field", "_mode", "_step", "_side"], ["study", "field", "_step"], ["study", "field", "_wide"]][depth]
+    return ["study", "_part", "field", *[["_mode", "_step", "_side"], ["_step"], ["_wide"]][depth]]
 
 
 def _pass(cells: DataFrame, depth: int) -> DataFrame:
@@ -177,7 +180,7 @@ def prepare(rows: DataFrame, fields: list[Field], study: str = "study", polarity
     )
 
 
-def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity") -> DataFrame:
+def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity", study_rows: int = STUDY_ROWS) -> DataFrame:
     """``(feature_id, field, filled_number, filled_text, depth, donors)`` of every missing field.
 
     ``depth`` is 0 to 2 for the width of the block, 3 for the study's own median, NULL where
@@ -185,6 +188,7 @@ def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity") -> Da
     """
     ready = cut_lineage(prepare(rows, fields, polarity=polarity))
     absent = ready.groupBy("study").agg(
+        (F.floor(F.count(F.lit(1)) / study_rows) + 1).alias("_parts"),
         *[F.max(F.coalesce(*[F.col(c) for c in f.group]).isNotNull()).alias(f"_has_{f.name}") for f in fields],
         *[F.percentile_approx(f.name, 0.5).alias(f"_median_{f.name}") for f in fields],
     )
@@ -205,8 +209,9 @@ def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity") -> Da
                 F.floor(side).alias("_side"),
             )
         )
-    cells = joined.select("feature_id", "study", "_mode", F.explode(F.array(*sides)).alias("_c")).select(
-        "feature_id", "study", "_mode", "_c.*"
+    part = F.pmod(F.xxhash64("feature_id"), F.col("_parts")).alias("_part")
+    cells = joined.select("feature_id", "study", part, "_mode", F.explode(F.array(*sides)).alias("_c")).select(
+        "feature_id", "study", "_part", "_mode", "_c.*"
     )
     cells = cut_lineage(cells.where("value IS NOT NULL OR wanted"))
     out, open_ = None, None

@@ -45,6 +45,13 @@ def test_missing_values_are_found_and_filled_closely(spark):
     assert all(k not in r.donors for (k, _), r in got.items() if r.field != "polarity")
 
 
+def test_a_crowded_study_is_dealt_out(spark):
+    df, level = table(spark, 600, changes={k: {"LL_1": None} for k in range(60)})
+    got = H.fill(df, fields(), study_rows=150).where("field = 'LL_1'").collect()
+    errors = [abs(np.log(r.filled_number / level[r.feature_id])) for r in got if r.depth < 3]
+    assert len(got) == 60 and len(errors) > 50 and np.median(errors) < 0.2
+
+
 def test_absent_groups_are_no_cases(spark):
     gone = {"LL_1": None, "LL_2": float("nan"), "LL_3": 0.0}
     df, _ = table(spark, 30, changes={k: gone for k in range(30)})
