@@ -114,7 +114,39 @@ _MISSING = f"""WITH latest AS (
   has AS (SELECT study, {", ".join(
       f"COUNT({g}_1) + COUNT({g}_2) + COUNT({g}_3) > 0 AS has_{g}_1" for g in ("BS4", "LL", "Mix"))} FROM kept GROUP BY study)"""
 
+
+
+def _role_sql(name: str) -> str:
+    """The role of a column name; the looks of values are left out, no name compared needs them."""
+    low = f"lower(trim({name}))"
+    bare = f"regexp_replace({low}, '[^a-z0-9]', '', 'g')"
+    sample = f"regexp_replace({low}, '{schema_drift.SAMPLE_PREFIX}', '')"
+    groups = "|".join(schema_drift.SAMPLE_GROUPS)
+    kinds = [*schema_drift.COORDINATES.items(), *((f"annotation:{k}", v) for k, v in schema_drift.ANNOTATIONS.items())]
+    whens = " ".join(f"WHEN {bare} IN ({', '.join(repr(n) for n in names.split())}) THEN '{kind}'" for kind, names in kinds)
+    return f"""CASE {whens} WHEN regexp_matches({sample}, '^[a-z]+[0-9]*[ _.-][0-9]+$') THEN 'sample:' || regexp_replace({sample}, '[ .-]', '_')
+      WHEN regexp_matches({sample}, '^({groups})[0-9]$') THEN 'sample:' || regexp_replace({sample}, '([0-9])$', '_\\1') ELSE 'other:' || {bare} END"""
+
+
+_DRIFT = f"""WITH r AS (SELECT DISTINCT file_id, row_no, payload FROM export_rows WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+  k AS (SELECT file_id, payload, UNNEST(json_keys(payload)) AS name FROM r),
+  v AS (SELECT file_id, name, json_type(payload, '$."' || name || '"') AS t FROM k),
+  n AS (SELECT file_id, name, COUNT(*) FILTER (WHERE t IN ('DOUBLE', 'UBIGINT', 'BIGINT')) AS num, COUNT(*) FILTER (WHERE t = 'VARCHAR') AS txt,
+    COUNT(*) FILTER (WHERE t = 'BOOLEAN') AS boo, COUNT(*) FILTER (WHERE t = 'ARRAY') AS lis FROM v GROUP BY file_id, name),
+  c AS (SELECT file_id, name, {_role_sql("name")} AS role, CASE WHEN GREATEST(num, txt, boo, lis) = 0 THEN NULL WHEN num = GREATEST(num, txt, boo, lis) THEN 'number'
+    WHEN txt = GREATEST(num, txt, boo, lis) THEN 'text' WHEN boo = GREATEST(num, txt, boo, lis) THEN 'boolean' ELSE 'list' END AS type FROM n),
+  f AS (SELECT file_id, MIN(stream) AS stream, MIN(COALESCE(exported_at, received_at)) AS ts FROM export_files GROUP BY file_id),
+  p AS (SELECT file_id, LAG(file_id) OVER (PARTITION BY stream ORDER BY ts, file_id) AS before_id FROM f WHERE stream IS NOT NULL AND ts IS NOT NULL),
+  o AS (SELECT p.file_id, c.role, c.name, c.type FROM p JOIN c ON c.file_id = p.before_id),
+  w AS (SELECT p.file_id, c.role, c.name, c.type FROM p JOIN c ON c.file_id = p.file_id WHERE p.before_id IS NOT NULL),
+  b AS (SELECT COALESCE(o.file_id, w.file_id) AS file_id, o.name AS oname, w.name AS wname, o.type AS otype, w.type AS wtype
+    FROM o FULL JOIN w ON w.file_id = o.file_id AND w.role = o.role)"""
+
 SQL = {
+    "p5_found": f"""{_DRIFT} SELECT file_id, 'added' AS change, '' AS old_name, wname AS new_name FROM b WHERE oname IS NULL
+      UNION ALL SELECT file_id, 'removed', oname, '' FROM b WHERE wname IS NULL
+      UNION ALL SELECT file_id, 'renamed', oname, wname FROM b WHERE oname <> wname
+      UNION ALL SELECT file_id, 'retyped', oname, wname FROM b WHERE otype <> wtype""",
     "p2_found": f"{_REACH} SELECT trace_id, axis, reach AS gap_from, s AS gap_to FROM marked WHERE s > reach",
     "p2_periods": f"""{_REACH}, numbered AS (SELECT *, SUM(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END)
       OVER (PARTITION BY trace_id, axis ORDER BY s ROWS UNBOUNDED PRECEDING) AS n FROM marked)
