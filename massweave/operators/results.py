@@ -32,6 +32,10 @@ TIER_MEDIANS = (
     ("median_delta_rt_s", "_delta_rt", 2),
 )
 
+#: Lines of the summary: label, aggregate, places.
+SUMMARY_QUALITY = (("Median Δm/z in ppm", "ppm", 3), ("Median |ΔRT| in s", "rt", 2), ("Median intensity r", "r", 3), ("Mean confidence", "confidence", 3))
+SUMMARY_TESTS = (("Median specificity", "specificity", 3), ("Median CI width", "width", 3))
+
 #: An interval that spans everything, as a bootstrap that tells nothing gives it.
 WHOLE_WIDTH = 2.0
 
@@ -70,6 +74,23 @@ def _fixed(value: float | None, places: int) -> str:
     return "nan" if value is None or math.isnan(value) else f"{value:.{places}f}"
 
 
+def _share(part: int, whole: int) -> str:
+    return f"{100 * part / max(whole, 1):.1f}%"
+
+
+def _listed(block: list[tuple]) -> list[str]:
+    return [f"  {label:<26}: {value}" for label, value in block]
+
+
+def _boxed(title: str, blocks: list[list[str]]) -> str:
+    """Blocks of lines under a title, between rules as wide as the widest line."""
+    rule = "=" * max(40, *(len(line) for block in blocks for line in block))
+    lines = [rule, title, rule]
+    for k, block in enumerate(blocks):
+        lines += ([""] if k else []) + block
+    return "\n".join([*lines, rule])
+
+
 def _streamed(df: DataFrame) -> tuple[list[str], Iterator]:
     """A table's rows, fetched partition by partition."""
     return df.columns, df.toLocalIterator(prefetchPartitions=True)
@@ -110,41 +131,21 @@ class MatchResult:
             F.count_if(F.length(known("_stat_notes").cast("string")) > 0).alias("flagged"),
         ).first()
         n = r["n"]
-        n_a, n_b = self.diagnostics.get("n_unique_a"), self.diagnostics.get("n_unique_b")
-        n_a = self.unique_a.count() if n_a is None else n_a
-        n_b = self.unique_b.count() if n_b is None else n_b
-        share = lambda k, of: f"{100 * k / max(of, 1):.1f}%"
-        rule = "=" * 55
-        lines = [
-            rule,
-            "Match summary",
-            rule,
-            f"  Table A features       : {n + n_a}",
-            f"  Table B features       : {n + n_b}",
-            f"  Matched pairs          : {n}",
-            f"  Unique to A            : {n_a}  ({share(n_a, n + n_a)})",
-            f"  Unique to B            : {n_b}  ({share(n_b, n + n_b)})",
-        ]
+        alone = {}
+        for side, rest in (("A", self.unique_a), ("B", self.unique_b)):
+            known_count = self.diagnostics.get(f"n_unique_{side.lower()}")
+            alone[side] = rest.count() if known_count is None else known_count
+        blocks = [[(f"Table {side} features", n + k) for side, k in alone.items()] + [("Matched pairs", n)]]
+        blocks[0] += [(f"Unique to {side}", f"{k} ({_share(k, n + k)})") for side, k in alone.items()]
         if n:
-            lines += [
-                "",
-                "  --- Match quality ---",
-                f"  Median Δmz (ppm)       : {_fixed(r['ppm'], 3)}",
-                f"  Median |Δrt| (s)       : {_fixed(r['rt'], 2)}",
-                f"  Median intensity r     : {_fixed(r['r'], 3)}",
-                f"  Mean confidence        : {_fixed(r['confidence'], 3)}",
-            ]
+            blocks.append([(label, _fixed(r[c], places)) for label, c, places in SUMMARY_QUALITY])
         if r["tested"]:
-            lines += [
-                "",
-                "  --- Statistical testing ---",
-                f"  FDR-significant matches: {r['significant']} / {n}  ({share(r['significant'], n)})",
-                f"  Median specificity     : {_fixed(r['specificity'], 3)}",
-                f"  Median CI width (r)    : {_fixed(r['width'], 3)}",
-            ]
+            tests = [("FDR-significant", f"{r['significant']} of {n} ({_share(r['significant'], n)})")]
+            tests += [(label, _fixed(r[c], places)) for label, c, places in SUMMARY_TESTS]
             if r["flagged"]:
-                lines.append(f"  Flagged matches        : {r['flagged']}  (see _stat_notes column)")
-        return "\n".join([*lines, rule])
+                tests.append(("Flagged (see _stat_notes)", r["flagged"]))
+            blocks.append(tests)
+        return _boxed("Match summary", [*(_listed(block) for block in blocks)])
 
     def significant_matches(self, alpha: float = 0.05) -> DataFrame:
         """Matches whose q-value is below ``alpha``."""
@@ -172,33 +173,19 @@ class MatchResult:
         """The tiers as a table of text, printed and returned."""
         self._require_statistics()
         rows = tier_summary(self.matched, ci_width_threshold, specificity_threshold).collect()
-        rule, line = "=" * 65, "  " + "-" * 60
-        lines = [
-            rule,
-            "Triage summary",
-            rule,
-            f"  Total matched pairs : {sum(r['n'] for r in rows)}",
-            f"  FDR alpha           : {fdr_alpha}",
-            f"  CI width threshold  : {ci_width_threshold}",
-            f"  Specificity threshold: {specificity_threshold}",
-            "",
-            f"  {'Tier':<8} {'n':>6} {'%':>6}  {'Med r':>7}  {'Med q':>8}  {'Med spec':>9}  {'Med CIw':>8}",
-            line,
+        settings = [
+            ("Total matched pairs", sum(r["n"] for r in rows)),
+            ("FDR alpha", fdr_alpha),
+            ("CI width threshold", ci_width_threshold),
+            ("Specificity threshold", specificity_threshold),
         ]
+        heads = [("n", 7), ("%", 7), *((n.removeprefix("median_"), 20) for n, _, _ in TIER_MEDIANS)]
+        table = [f"  {'tier':<8}" + "".join(f"{h:>{w}}" for h, w in heads)]
         for r in rows:
-            values = [(r["median_r"], 3, 7), (r["median_qvalue"], 4, 8), (r["median_specificity"], 3, 9), (r["median_ci_width"], 3, 8)]
-            lines.append(f"  {r['tier']:<8} {r['n']:>6} {r['pct']:>5.1f}%" + "".join(f"  {_fixed(v, places):>{width}}" for v, places, width in values))
-        lines += [
-            line,
-            "",
-            "  Tiers:",
-            "    1: significant, narrow interval, specific",
-            "    2: significant, wide positive interval, or no interval but specific",
-            "    3: significant, interval across zero or low specificity",
-            "    4: not significant",
-            rule,
-        ]
-        text = "\n".join(lines)
+            cells = [str(r["n"]), _fixed(r["pct"], 1), *(_fixed(r[n], places) for n, _, places in TIER_MEDIANS)]
+            table.append(f"  {r['tier']:<8}" + "".join(f"{c:>{w}}" for c, (_, w) in zip(cells, heads)))
+        meaning = [f"  {name}: {text}" for _, name, text in TIERS]
+        text = _boxed("Triage summary", [_listed(settings), table, meaning])
         print(text)
         return text
 
