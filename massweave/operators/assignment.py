@@ -7,13 +7,17 @@ apart into its connected components.
 1. Pairs whose rows have no other pair are taken as they are.
 2. Stars, where all pairs share one row and their other rows have no other pair, keep their
    best pair.
-3. The rest is labelled by component (the smallest row reachable, by exchanging minima along
+3. Among the rest, a pair worth at least as much as the next best pairs of both its rows
+   together is in some optimum: whatever replaces it cannot be worth more.  Such pairs are
+   taken and their rows removed, which uncovers others; a few rounds of this shrink what is
+   contested without looking at whole components.
+4. What remains is labelled by component (the smallest row reachable, by exchanging minima along
    the edges in rounds, each round written to the shared checkpoint folder), and each
    component is solved by shortest augmenting paths on its own sparse edges.
 
 Ties go to the smaller ids.  A pair of confidence 0 is taken where both its rows are free
 otherwise.  A component has to fit into one task, in memory proportional to its pairs; what
-steps 1 and 2 settle never reaches that step.
+the steps before settle never reaches that step.
 """
 
 from __future__ import annotations
@@ -28,6 +32,9 @@ from pyspark.sql import functions as F
 
 from massweave.plans.runtime import cut_lineage
 
+#: Rounds in which dominant pairs are taken.
+DOMINANT_ROUNDS = 6
+
 #: Gain of a pair of confidence 0, so that it is taken where it costs nothing.
 _LEAST_GAIN = 1e-12
 
@@ -63,6 +70,18 @@ def contested(degrees: DataFrame) -> DataFrame:
     return degrees.where(f"NOT (deg_a = 1 AND deg_b = 1) AND NOT ({star})").select("idx_a", "idx_b", "confidence")
 
 
+def dominant(edges: DataFrame) -> DataFrame:
+    """Pairs that are the best of both their rows and worth the next best of both together."""
+
+    def ranked(df: DataFrame, side: str, other: str) -> DataFrame:
+        order = W.partitionBy(side).orderBy(F.desc("confidence"), other)
+        whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        return df.withColumn(f"_k_{side}", F.row_number().over(order)).withColumn(f"_next_{side}", F.coalesce(F.nth_value("confidence", 2).over(whole), F.lit(0.0)))
+
+    both = ranked(ranked(edges, "idx_a", "idx_b"), "idx_b", "idx_a")
+    return both.where("_k_idx_a = 1 AND _k_idx_b = 1 AND confidence >= _next_idx_a + _next_idx_b").select("idx_a", "idx_b")
+
+
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """Add ``component``: the smallest ``idx_a`` of the connected component of each pair.
 
@@ -144,6 +163,13 @@ def assign(edges: DataFrame) -> DataFrame:
     degrees = cut_lineage(with_degrees(edges.select("idx_a", "idx_b", "confidence")))
     easy = isolated(degrees).select("idx_a", "idx_b").unionByName(best_of_stars(degrees).select("idx_a", "idx_b"))
     hard = contested(degrees)
+    for _ in range(DOMINANT_ROUNDS):
+        hard = cut_lineage(hard)
+        taken = cut_lineage(dominant(hard))
+        if taken.isEmpty():
+            break
+        easy = easy.unionByName(taken)
+        hard = hard.join(taken.select("idx_a"), "idx_a", "left_anti").join(taken.select("idx_b"), "idx_b", "left_anti")
     if hard.isEmpty():
         return easy
     solved = components(hard).groupBy("component").applyInPandas(_solve, "idx_a bigint, idx_b bigint")
