@@ -146,7 +146,7 @@ def inspect(text: str) -> tuple[bool, bool, bool, str | None, str | None, str |
     the text is whole; NULL where that says nothing.
     """
     layout = next((name for name, p in _LAYOUTS if p.match(text)), None)
-    found = _MARK.search(text)
+    found = _MARK.search(text.rstrip()[-120:])
     open_ = not text.endswith(("\n", "\r"))
     plain = text.replace("\r\n", "\n").replace("\r", "\n")
     last = plain.rstrip("\n").rsplit("\n", 1)[-1]
