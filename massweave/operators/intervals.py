@@ -80,6 +80,8 @@ def interval_starts(
         df.where(F.col(entity).isNotNull())
         .select(F.col(entity), F.explode(F.array_compact(F.array(*sides))).alias("_i"))
         .select(entity, "_i.axis", F.expr(f"_i.s div {int(cell_width)}").alias("cell"), "_i.s", "_i.e")
+        # Never NULL; said here so that both readers of the starts get the same plan and share its shuffle.
+        .where("axis IS NOT NULL AND cell IS NOT NULL AND s IS NOT NULL")
         .groupBy(entity, "axis", "cell", "s")
         .agg(F.max("e").alias("e"))
     )
