@@ -51,6 +51,9 @@ SAME_SECONDS = 1e-3
 #: White space of any kind, no-break and thin spaces included.
 BLANKS = r"[\s\u00A0\u2000-\u200B\u202F\u205F\u3000\uFEFF]+"
 
+#: A number that is read with a decimal comma and with a thousands mark.
+TWO_READINGS = r"^[1-9]\d{0,2},\d{3}$"
+
 _ISO = r"^pt(?:(\d+)h)?(?:(\d+)m)?(?:(\d+(?:[.,]\d+)?)s)?$"
 _CLOCK = r"^(?:(\d+):)?(\d+):(\d+(?:[.,]\d+)?)$"
 _WORDS = r"^(?:(\d+) ?h(?:ours?|rs?)? ?)?(?:(\d+) ?min(?:s|utes?)?\.? ?)?(\d+(?:[.,]\d+)?) ?s(?:ec|econds?)?\.?$"
@@ -78,7 +81,9 @@ def mixed_seconds(text: Column) -> Column:
         h, m, s = (_decimal(_group(text, pattern, k)) for k in (1, 2, 3))
         total = F.coalesce(h, F.lit(0.0)) * 3600 + F.coalesce(m, F.lit(0.0)) * 60 + F.coalesce(s, F.lit(0.0))
         parts.append(F.when(text.rlike(pattern) & (h.isNotNull() | m.isNotNull()), total))
-    return F.coalesce(*parts)
+    # Most texts are a number and at most one word; they need no further look.
+    several = text.contains(":") | text.startswith("pt") | text.rlike(r"[a-z]\.? ?\d")
+    return F.when(several, F.coalesce(*parts))
 
 
 def number_readings(number: Column) -> Column:
@@ -94,7 +99,7 @@ def number_readings(number: Column) -> Column:
         F.when(comma & dot, F.array(reading(one_of_each, True)))
         .when(number.rlike(r"^\d{1,3}(,\d{3}){2,}$"), F.array(reading(no_comma, True)))
         .when(number.rlike(r"^\d{1,3}(\.\d{3}){2,}$"), F.array(reading(no_dot.try_cast("double"), True)))
-        .when(number.rlike(r"^[1-9]\d{0,2},\d{3}$"), F.array(reading(no_comma, True), reading(_decimal(number), False)))
+        .when(number.rlike(TWO_READINGS), F.array(reading(no_comma, True), reading(_decimal(number), False)))
         .when(comma, F.array(reading(_decimal(number), False)))
         .otherwise(F.array(reading(plain, False)))
     )
@@ -222,12 +227,15 @@ def field_seconds(
         F.coalesce("r.by_mz", "r.by_name", F.lit(None if middle is None else math.exp(middle)).cast("double")).alias("_nominal"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"r.f_{f}").alias("raw")) for f in fields])).alias("_f"),
     )
-    solved = solve_readings(long.select(identity, "_file", "_label", "_nominal", "_f.field", "_f.raw"), "raw", "_nominal").drop("raw")
+    long = long.select(identity, "_file", "_label", "_nominal", "_f.field", "_f.raw")
+    solved = solve_readings(long, "raw", "_nominal").drop("raw")
     sure = F.when(F.col("unique") & F.col("mixed").isNull(), F.get("close", F.lit(0))["unit"])
     counts = [F.count_if(sure == u) for u in UNIT_SECONDS]
-    # Only files with a field that is not unique are asked for their habits.
+    # Only files with a text of two readings can have a field that is not unique; only they are asked for their habits.
+    asked = long.where(F.regexp_replace(clean_text(F.col("raw")), r"[^\d.,]+$", "").rlike(TWO_READINGS)).select("_file").distinct()
     usual = (
-        solved.groupBy("_file")
+        solve_readings(long.join(asked, "_file", "left_semi"), "raw", "_nominal")
+        .groupBy("_file")
         .agg(
             F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(u).alias("u")) for n, u in zip(counts, UNIT_SECONDS)])).alias("_m"),
             F.count_if(~F.col("unique")).alias("_open"),
