@@ -9,7 +9,7 @@ from massweave.config import StatTestParams, Tolerances
 from massweave.operators import assignment, band_join, drift, ingest, scoring, significance
 from massweave.operators.results import MatchResult
 from massweave.operators.roles import ColumnMap, infer_column_map, shared_samples
-from massweave.plans.runtime import cut_lineage
+from massweave.plans.runtime import cut_lineage, ship_package
 
 EDGE_METRICS = (("confidence", "_confidence"), ("delta_mz_ppm", "_delta_mz_ppm"), ("delta_rt", "_delta_rt"), ("intensity_corr", "_intensity_corr"))
 
@@ -86,6 +86,7 @@ class PeakMatcher:
             raise ValueError("the labels of the two tables must differ")
         map_a.validate_against(df_a)
         map_b.validate_against(df_b)
+        ship_package(df_a.sparkSession)
         samples = shared_samples(map_a, map_b)
         a, b = ingest.numbered(df_a, id_col_a), ingest.numbered(df_b, id_col_b)
         slim_a, slim_b = ingest.slim(a, map_a, samples), ingest.slim(b, map_b, samples)

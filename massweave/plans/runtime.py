@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +19,26 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{directory}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once; they need not have it installed."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_massweave_shipped", False) or not root.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="massweave-"), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    context._massweave_shipped = True
+
+
 def query(build):
     """Mark a builder ``(spark, directory) -> DataFrame`` of the catalogue."""
 
     @functools.wraps(build)
     def run(spark: SparkSession, directory: str) -> DataFrame:
         restore_reader(spark)
+        ship_package(spark)
         return build(spark, directory)
 
     return run
