@@ -29,6 +29,8 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from massweave.plans.runtime import ship_package
+
 #: Where the vocabulary files of the public tokenizers lie; a parameter of every entry point.
 DEFAULT_FOLDER = os.environ.get("MASSWEAVE_TOKENIZERS", "/opt/tokenizers")
 
@@ -234,6 +236,7 @@ def count_batch(texts: list[str | None], path: str) -> Iterator[int]:
 def encode(documents: DataFrame, identity: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``(identity, ids)`` of each row; see the module for NULL and empty texts."""
     path = rank_file(name, folder)
+    ship_package(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,6 +254,7 @@ def encode(documents: DataFrame, identity: str = "doc_id", text: str = "text", n
 def count_tokens(documents: DataFrame, text: str = "text", out: str = "n_tokens", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``documents`` with its text replaced by the number of its tokens, 0 for NULL and empty texts."""
     path = rank_file(name, folder)
+    ship_package(documents.sparkSession)
     rest = [c for c in documents.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

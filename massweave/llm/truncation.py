@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.llm.mix import source_name
-from massweave.plans.runtime import broadcast_if_small, cut_lineage
+from massweave.plans.runtime import broadcast_if_small, cut_lineage, ship_package
 
 #: Any character that is no white space of any kind.
 NOT_BLANK = r"[^\s\u00A0\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -225,6 +225,7 @@ def line_endings(documents: DataFrame, keys: DataFrame) -> DataFrame:
 
 def judged(documents: DataFrame) -> DataFrame:
     """``(doc_id, source, cut, reason)`` of every document."""
+    ship_package(documents.sparkSession)
     text = F.col("text")
     rows = documents.where("doc_id IS NOT NULL").select(
         "doc_id",
