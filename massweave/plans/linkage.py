@@ -59,11 +59,9 @@ def _edges(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _chosen(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Isolated pairs and the best of stars, with all metrics, and all edges."""
+    """Pairs of the optimal assignment, with all metrics, and all edges."""
     edges = _edges(spark, directory)
-    degrees = assignment.with_degrees(edges)
-    easy = assignment.isolated(degrees).select("idx_a", "idx_b").unionByName(assignment.best_of_stars(degrees).select("idx_a", "idx_b"))
-    return edges.join(easy, ["idx_a", "idx_b"]), edges
+    return cut_lineage(edges.join(assignment.assign(edges), ["idx_a", "idx_b"])), edges
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:

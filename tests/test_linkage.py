@@ -16,6 +16,7 @@ from massweave import ColumnMap, StatTestParams, Tolerances, align, infer_column
 from massweave.functions.arrays import with_correlation
 from massweave.operators import assignment, band_join, drift, ingest, scoring
 from massweave.operators.roles import has_role, shared_samples
+from massweave.plans import linkage
 
 QUICK = StatTestParams(n_permutations=100, n_bootstrap=50)
 
@@ -290,3 +291,29 @@ def test_positions_do_not_depend_on_partitions(spark):
     df = spark.range(37).repartition(5)
     rows = ingest.numbered(df).collect()
     assert sorted(x._idx for x in rows) == list(range(37))
+
+
+def test_queries_report_over_the_whole_assignment(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    # Groups of parts at one position with alike profiles contest each other; the last part of each hundred stands alone.
+    keys = [100 * g + k for g in range(1, 9) for k in (*range(2, 6), 50)]
+    part = [(k, 500.0 + k // 100 if k % 100 < 50 else 700.0 + k // 100, 5 + k // 100) for k in keys]
+    line = [(k, s, (s + 1) * 1000.0 * r.uniform(0.8, 1.2)) for k in keys for s in range(6)]
+    spark.createDataFrame(part, "p_partkey bigint, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(line, "l_partkey bigint, l_suppkey bigint, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = lambda name: linkage.QUERIES[name](spark, str(tmp_path)).collect()
+    edges = {(e.idx_a, e.idx_b): e.confidence for e in linkage._edges(spark, str(tmp_path)).collect()}
+    chosen = linkage._chosen(spark, str(tmp_path))
+    monkeypatch.setattr(linkage, "_chosen", lambda *_: chosen)  # one assignment for all queries
+    groups = [{p: c for p, c in edges.items() if p[0] // 100 == g} for g in range(1, 9)]
+    assert max(len(g) for g in groups) > 8
+    matched = [(m.id_A, m.id_B) for m in query("matched_wide")]
+    assert len({a for a, _ in matched}) == len(matched) == len({b for _, b in matched})
+    assert sum(edges[p] for p in matched) == pytest.approx(sum(heaviest(g) for g in groups))
+    for side, name in enumerate(("unique_a", "unique_b")):
+        have = {t.id for t in linkage.feature_tables(spark, str(tmp_path))[side].collect()}
+        assert {x.id for x in query(name)} == have - {p[side] for p in matched}
+    assert {(x.idx_a, x.idx_b) for x in query("specificity")} == set(matched)
+    assert query("match_summary")[0].n_matched == {x.name: x.n for x in query("diagnostics")}["n_matched"] == len(matched)
+    for name in ("perm_pvalue_small", "bootstrap_ci_small"):
+        assert {(x.idx_a, x.idx_b) for x in query(name)} == set(matched)
