@@ -3,9 +3,9 @@
 A missing intensity is copied from donors: records of the same study that hold a real value
 in the field.  Records are hash-blocked on their observed mixed features (study, ionisation
 mode, and the log levels of two companion samples, cut into steps); inside a block they lie
-sorted by their level, and the closest donors are looked for among a fixed number of
-neighbours on both sides, so no pairs are formed and a crowded study falls apart into many
-blocks; a study of very many records is first dealt out at random to several such sets.  The value is the median of the donors weighted by closeness.  What a block cannot
+sorted by their level, and the closest donors are looked for among the donors next to a record
+on both sides, however many records without a value lie between; so no pairs are formed and a
+crowded study falls apart into many blocks; a study of very many records is first dealt out at random to several such sets.  The value is the median of the donors weighted by closeness.  What a block cannot
 fill falls back to ever wider blocks, at last to the study's own weighted quantile.  A missing
 mode is the majority of the same study and group of peaks, then of the study.
 
@@ -49,9 +49,10 @@ RESOLUTION = 1e-4
 #: Records of a study that share its blocks; a larger study is dealt out at random to several sets of blocks.
 STUDY_ROWS = 1_000_000
 
-#: Donors copied from, and neighbours looked at on each side.
+#: Donors copied from.
 DONORS = 5
-NEIGHBOURS = 12
+
+DONOR_LIST = "array<struct<feature_id:bigint,level:double,value:double>>"
 
 
 @dataclass(frozen=True)
@@ -133,10 +134,18 @@ def _blocks(depth: int) -> list[str]:
 
 def _pass(cells: DataFrame, depth: int) -> DataFrame:
     """Look for donors in the blocks of one depth."""
-    block = W.partitionBy(*_blocks(depth)).orderBy("level", "feature_id")
-    donor = F.when(F.col("value").isNotNull(), F.struct("feature_id", "level", "value"))
-    before = F.collect_list(donor).over(block.rowsBetween(-NEIGHBOURS, -1))
-    after = F.collect_list(donor).over(block.rowsBetween(1, NEIGHBOURS))
+    keys = _blocks(depth)
+    inside = lambda *order: W.partitionBy(*keys).orderBy(*order)
+    # Of donors at one level only the first few by identity can be among the closest.
+    nth = F.row_number().over(inside("_spare", "level", "feature_id")) - F.rank().over(inside("_spare", "level"))
+    # The closest lie on at most so many places on a side: all but one of them, and the donors at the level of the last.
+    reach = 2 * DONORS - 1
+    donor = F.when(~F.col("_spare"), F.struct("feature_id", "level", "value"))
+    # Donors come first in this order, so records without a value take up no places.
+    around = F.collect_list(donor).over(inside("_spare", "level", "feature_id").rowsBetween(1 - reach, reach))
+    own = F.when(~F.col("_spare"), F.col("_around"))
+    before = F.last(own, ignorenulls=True).over(inside("level", "feature_id").rowsBetween(W.unboundedPreceding, -1))
+    first = F.min_by("_around", F.when(~F.col("_spare"), F.struct("level", "feature_id"))).over(W.partitionBy(*keys))
     gap = lambda d: F.abs(d["level"] - F.col("level"))
     ranked = F.array_sort(
         F.transform(
@@ -145,10 +154,14 @@ def _pass(cells: DataFrame, depth: int) -> DataFrame:
         )
     )
     return (
-        cells.withColumn("_before", before)
-        .withColumn("_after", after)
+        cells.withColumn("_spare", F.col("value").isNull() | F.col("level").isNull())
+        .withColumn("_nth", nth)
+        .withColumn("_spare", F.col("_spare") | (F.col("_nth") >= DONORS))
+        .withColumn("_around", around)
+        .withColumn("_before", before)
+        .withColumn("_first", first)
         .where("value IS NULL AND wanted")
-        .withColumn("_found", F.concat("_before", "_after"))
+        .withColumn("_found", F.coalesce("_before", "_first", F.array().cast(DONOR_LIST)))
         .withColumn("_near", F.slice(ranked, 1, DONORS))
         .withColumn(
             "filled",
@@ -157,7 +170,7 @@ def _pass(cells: DataFrame, depth: int) -> DataFrame:
             ),
         )
         .withColumn("donors", F.transform("_near", lambda d: d["feature_id"]))
-        .drop("_before", "_after", "_found", "_near")
+        .drop("_spare", "_nth", "_around", "_before", "_first", "_found", "_near")
     )
 
 

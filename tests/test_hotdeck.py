@@ -82,3 +82,22 @@ def test_stand_ins_are_told_from_chance(spark):
 def test_weighted_median(spark):
     near = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(w).alias("weight")) for v, w in ((1.0, 1.0), (5.0, 3.0), (2.0, 1.0))])
     assert spark.range(1).select(H._weighted_median(near)).first()[0] == pytest.approx(5.0)
+
+
+def test_records_without_a_value_take_up_no_places(spark):
+    # One block: levels of 50 steps, many records at each, one in twelve of them with a value.
+    step = lambda k: k * 37 % 50
+    n, held = 1200, [k for k in range(1200) if k % 12 == 5 or step(k) == 20 and k % 3 == 0]
+    changes = {}
+    for k in range(n):
+        value = float(np.exp(9.02 + step(k) ** 2 * 3e-5))
+        changes[k] = {s: value for s in SAMPLES} | {"polarity": "pos", "LL_1": 5000.0 + k if k in held else None, "BS4_1": 9000.0 + k, "Mix_1": 7000.0 + k}
+    df, _ = table(spark, n, changes=changes)
+    got = H.fill(df, fields()).where("field = 'LL_1'").collect()
+    assert len(got) == n - len(held) and {r.depth for r in got} == {0}
+    gap = lambda k, d: round(abs(step(k) ** 2 - step(d) ** 2) * 3e-5, 9)
+    for r in got:
+        want = sorted((gap(r.feature_id, d), d) for d in held)[:5]
+        assert [gap(r.feature_id, d) for d in r.donors] == [g for g, _ in want]
+        for d in r.donors:
+            assert all(e in r.donors for e in held if step(e) == step(d) and e < d)
