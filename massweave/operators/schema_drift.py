@@ -5,7 +5,8 @@ means whatever it is called: a coordinate, a bound, a sample or an annotation.
 list of a file's columns is its schema; its hash is the schema's fingerprint.  Files follow
 each other within a stream, and the steps that lead from one file's schema to the next are
 the changes reported: ``added``, ``removed``, ``renamed``, ``retyped``.  Each record is routed
-through the rules of its file's schema: rename (name to role), default (NULL for a role the
+through the rules of its file's schema: rename (name to role, which is what the steps along a
+stream come to), default (NULL for a role the
 file lacks) and cast (text that holds a number, also with a decimal comma, to a number).
 
 Defined results
@@ -235,23 +236,36 @@ def as_number(value: Column) -> Column:
     )
 
 
+def file_routes(columns: DataFrame) -> DataFrame:
+    """``(file_id, _roles)``: the role of every name by the schema of its file.
+
+    Unknown names of one file that would share a role keep their exact names instead.
+    """
+    clash = F.count(F.lit(1)).over(W.partitionBy("file_id", "role")) > 1
+    unknown = column_role(F.col("name")).startswith("other:")
+    role = F.when(unknown & clash, F.concat(F.lit("other:"), F.col("name"))).otherwise(F.col("role"))
+    routes = columns.select("file_id", "name", role.alias("role"))
+    return routes.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "role"))).alias("_roles"))
+
+
 def unified(records: DataFrame) -> DataFrame:
     """All records in one table.
 
     ``(file_id, row_no, mz, mz_min, mz_max, rt, rt_min, rt_max, intensities, annotations,
     n_cast, n_lost)``: ``intensities`` maps samples to numbers, ``annotations`` maps
-    annotations to text.  ``n_cast`` counts texts read as numbers, ``n_lost`` values that
+    annotations to text, columns without a known role under ``other:...``.  ``n_cast`` counts texts read as numbers, ``n_lost`` values that
     are no number where one is needed.
     """
-    cells = records.withColumn(
+    routed = records.join(file_routes(file_columns(records)), "file_id", "left")
+    cells = routed.withColumn(
         "_c",
         F.transform(
             F.coalesce("fields", F.array().cast(records.schema["fields"].dataType)),
             lambda e: F.struct(
-                column_role(e["key"]).alias("role"),
+                F.try_element_at("_roles", e["key"]).alias("role"),
                 value_type(e["value"]).alias("type"),
                 as_number(e["value"]).alias("number"),
-                F.try_variant_get(e["value"], "$", "string").alias("text"),
+                F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.when(~F.is_variant_null(e["value"]), F.to_json(e["value"]))).alias("text"),
             ),
         ),
     )
@@ -261,15 +275,15 @@ def unified(records: DataFrame) -> DataFrame:
     to_map = lambda keep, start, field: F.map_from_entries(
         F.transform(
             F.filter("_c", lambda c, i: keep(c) & (F.size(F.filter(F.slice("_c", i + 2, F.size("_c")), lambda d: d["role"] == c["role"])) == 0)),
-            lambda c: F.struct(F.substring(c["role"], start, 200), c[field]),
+            lambda c: F.struct(F.regexp_replace(c["role"], start, ""), c[field]),
         )
     )
     return cells.select(
         "file_id",
         "row_no",
         *[first(r).alias(r) for r in COORDINATES],
-        to_map(lambda c: c["role"].startswith("sample:"), len("sample:") + 1, "number").alias("intensities"),
-        to_map(lambda c: c["role"].startswith("annotation:"), len("annotation:") + 1, "text").alias("annotations"),
+        to_map(lambda c: c["role"].startswith("sample:"), "^sample:", "number").alias("intensities"),
+        to_map(lambda c: c["role"].startswith("annotation:") | c["role"].startswith("other:"), "^annotation:", "text").alias("annotations"),
         F.size(F.filter("_c", lambda c: numeric(c) & (c["type"] == "text") & c["number"].isNotNull())).alias("n_cast"),
         F.size(F.filter("_c", lambda c: numeric(c) & c["type"].isNotNull() & c["number"].isNull())).alias("n_lost"),
     )

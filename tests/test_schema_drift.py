@@ -85,3 +85,16 @@ def test_one_table(spark):
     assert got[3, 1].intensities == {"ll_1": 2.0}
     assert D.unified(D.distinct_records(rows(spark, []))).count() == 0
     assert D.changes(files(spark, []), rows(spark, [])).count() == 0
+
+
+def test_table_follows_the_schema_of_each_file(spark):
+    content = [
+        (1, 1, {"mz": 1.0, "ion seen": "[M+H]+", "Batch": "b1", "tags": ["x"], "none": None}),
+        (2, 1, {"ion seen": "plain text", "Foo_1x": "p", "foo-1x": "q"}),
+        (3, 1, {"adduct": "[M+H]+", "ion": "[M+Na]+"}),
+    ]
+    got = {r.file_id: r.annotations for r in D.unified(D.distinct_records(rows(spark, content))).collect()}
+    # A role by looks holds for the file; unknown columns stay, and none displaces another.
+    assert got[1] == {"adduct": "[M+H]+", "other:batch": "b1", "other:tags": '["x"]', "other:none": None}
+    assert got[2] == {"other:ionseen": "plain text", "other:Foo_1x": "p", "other:foo-1x": "q"}
+    assert got[3] == {"adduct": "[M+H]+", "other:ion": "[M+Na]+"}
