@@ -70,8 +70,8 @@ def contested(degrees: DataFrame) -> DataFrame:
     return degrees.where(f"NOT (deg_a = 1 AND deg_b = 1) AND NOT ({star})").select("idx_a", "idx_b", "confidence")
 
 
-def dominant(edges: DataFrame) -> DataFrame:
-    """Pairs that are the best of both their rows and worth the next best of both together."""
+def with_dominant(edges: DataFrame) -> DataFrame:
+    """Add ``dominant``: whether a pair is the best of both its rows and worth the next best of both together."""
 
     def ranked(df: DataFrame, side: str, other: str) -> DataFrame:
         order = W.partitionBy(side).orderBy(F.desc("confidence"), other)
@@ -79,7 +79,8 @@ def dominant(edges: DataFrame) -> DataFrame:
         return df.withColumn(f"_k_{side}", F.row_number().over(order)).withColumn(f"_next_{side}", F.coalesce(F.nth_value("confidence", 2).over(whole), F.lit(0.0)))
 
     both = ranked(ranked(edges, "idx_a", "idx_b"), "idx_b", "idx_a")
-    return both.where("_k_idx_a = 1 AND _k_idx_b = 1 AND confidence >= _next_idx_a + _next_idx_b").select("idx_a", "idx_b")
+    mark = F.expr("_k_idx_a = 1 AND _k_idx_b = 1 AND confidence >= _next_idx_a + _next_idx_b")
+    return both.select("idx_a", "idx_b", "confidence", mark.alias("dominant"))
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -164,8 +165,9 @@ def assign(edges: DataFrame) -> DataFrame:
     easy = isolated(degrees).select("idx_a", "idx_b").unionByName(best_of_stars(degrees).select("idx_a", "idx_b"))
     hard = contested(degrees)
     for _ in range(DOMINANT_ROUNDS):
-        hard = cut_lineage(hard)
-        taken = cut_lineage(dominant(hard))
+        # One write a round: the pairs that are left, with the dominant ones marked.
+        marked = cut_lineage(with_dominant(hard))
+        taken, hard = marked.where("dominant").select("idx_a", "idx_b"), marked.select("idx_a", "idx_b", "confidence")
         if taken.isEmpty():
             break
         easy = easy.unionByName(taken)

@@ -7,8 +7,9 @@ second table lies in one cell, each row of the first is sent to the one or two c
 that its window touches, and the cells are joined by equality with the exact condition on
 top.  No pair can appear twice, since a row of the second table has one cell only.
 
-With a ppm window, m/z cells are cut on the logarithm, so they are as wide as the window at
-every m/z; with an absolute window they are cut on m/z itself.
+Cells on m/z are as wide as the window at every m/z: linear in m/z below the point where the
+absolute window gives way to the ppm window, logarithmic above it.  So no row widens the
+cells of others, and nothing has to be known about the table beforehand.
 
 Rows whose m/z or RT is missing, or whose m/z is not positive, never match.
 """
@@ -30,6 +31,18 @@ def mz_tolerance(mz: Column, tol: Tolerances) -> Column:
     return ppm if tol.mz_da is None else F.greatest(ppm, F.lit(float(tol.mz_da)))
 
 
+def _mz_place(mz: Column, tol: Tolerances) -> Column:
+    """Position of an m/z in cells of four half-widths; continuous and increasing."""
+    ppm, da = max(float(tol.mz_ppm), 0.0) * 1e-6, max(float(tol.mz_da or 0.0), 0.0)
+    if ppm == 0:
+        return mz / F.lit(4 * da if da else 1e-6)
+    if da == 0:
+        return F.ln(mz) / F.lit(4 * ppm)
+    turn = da / ppm
+    linear = mz / F.lit(4 * da)
+    return F.when(mz <= turn, linear).otherwise(F.lit(turn / (4 * da)) + F.ln(mz / F.lit(turn)) / F.lit(4 * ppm))
+
+
 def _touched(low: Column, high: Column) -> Column:
     return F.explode(F.sequence(F.floor(low), F.floor(high)))
 
@@ -42,14 +55,10 @@ def candidate_pairs(a: DataFrame, b: DataFrame, tol: Tolerances, keep_a: tuple[s
     right = b.where(usable)
     if tol.rt_seconds < 0:
         left = left.limit(0)
-    if tol.mz_da is None and tol.mz_ppm > 0:
-        place, width = lambda v: F.ln(v), 4e-6 * tol.mz_ppm
-        low = F.ln(F.greatest(F.col("mz") - F.col("_tol"), F.col("mz") * F.lit(1e-3)))
-    else:
-        widest = left.agg(F.max("_tol")).first()[0] or 0.0
-        place, width = lambda v: v, 4.0 * widest or 1e-6
-        low = F.col("mz") - F.col("_tol")
-    high = place(F.col("mz") + F.col("_tol"))
+    # A window that reaches below zero touches the cells down to a thousandth of its own m/z, or all from zero on where they are linear.
+    least = F.lit(0.0) if (tol.mz_da or 0) > 0 else F.col("mz") * F.lit(1e-3)
+    low = _mz_place(F.greatest(F.col("mz") - F.col("_tol"), least), tol)
+    high = _mz_place(F.col("mz") + F.col("_tol"), tol)
     slack = _SLACK * (1 + F.abs(high))
     wide = 4.0 * max(tol.rt_seconds, 1e-6)
     left = left.select(
@@ -58,14 +67,14 @@ def candidate_pairs(a: DataFrame, b: DataFrame, tol: Tolerances, keep_a: tuple[s
         F.col("rt").alias("rt_a"),
         "_tol",
         *[F.col(c).alias(f"{c}_a") for c in keep_a],
-        _touched((low - slack) / width, (high + slack) / width).alias("_mz_cell"),
+        _touched(low - slack, high + slack).alias("_mz_cell"),
     ).select("*", _touched((F.col("rt_a") - tol.rt_seconds) / wide - _SLACK, (F.col("rt_a") + tol.rt_seconds) / wide + _SLACK).alias("_rt_cell"))
     right = right.select(
         F.col("idx").alias("idx_b"),
         F.col("mz").alias("mz_b"),
         F.col("rt").alias("rt_b"),
         *[F.col(c).alias(f"{c}_b") for c in keep_b],
-        F.floor(place(F.col("mz")) / width).alias("_mz_cell"),
+        F.floor(_mz_place(F.col("mz"), tol)).alias("_mz_cell"),
         F.floor(F.col("rt") / wide).alias("_rt_cell"),
     )
     exact = (F.abs(F.col("mz_b") - F.col("mz_a")) <= F.col("_tol")) & (F.abs(F.col("rt_b") - F.col("rt_a")) <= F.lit(float(tol.rt_seconds)))

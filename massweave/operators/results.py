@@ -33,8 +33,13 @@ TIER_MEDIANS = (
 )
 
 #: Lines of the summary: label, aggregate, places.
-SUMMARY_QUALITY = (("Median Δm/z in ppm", "ppm", 3), ("Median |ΔRT| in s", "rt", 2), ("Median intensity r", "r", 3), ("Mean confidence", "confidence", 3))
-SUMMARY_TESTS = (("Median specificity", "specificity", 3), ("Median CI width", "width", 3))
+SUMMARY_QUALITY = (
+    ("Median Δm/z in ppm", "median_ppm", 3),
+    ("Median |ΔRT| in s", "median_abs_rt", 2),
+    ("Median intensity r", "median_r", 3),
+    ("Mean confidence", "mean_confidence", 3),
+)
+SUMMARY_TESTS = (("Median specificity", "median_specificity", 3), ("Median CI width", "median_ci_width", 3))
 
 #: An interval that spans everything, as a bootstrap that tells nothing gives it.
 WHOLE_WIDTH = 2.0
@@ -114,36 +119,40 @@ class MatchResult:
         if missing:
             raise ValueError(f"Statistical testing columns not found: {missing}")
 
+    def summary_metrics(self) -> DataFrame:
+        """One row of counts and medians, from one aggregate; NULL where nothing is known."""
+        known = lambda c, kind: F.col(c).cast(kind) if c in self.matched.columns else F.lit(None).cast(kind)
+        return self.matched.agg(
+            F.count(F.lit(1)).alias("n_matched"),
+            F.median("_delta_mz_ppm").alias("median_ppm"),
+            F.median(F.abs("_delta_rt")).alias("median_abs_rt"),
+            F.median("_intensity_corr").alias("median_r"),
+            F.avg("_confidence").alias("mean_confidence"),
+            F.count(known("_perm_qvalue", "double")).alias("n_tested"),
+            F.count_if(known("_fdr_significant", "boolean")).alias("n_significant"),
+            F.median(known("_specificity", "double")).alias("median_specificity"),
+            F.median(known("_ci_width", "double")).alias("median_ci_width"),
+            F.count_if(F.length(known("_stat_notes", "string")) > 0).alias("n_flagged"),
+        )
+
+    def _unmatched(self, side: str) -> int:
+        known = self.diagnostics.get(f"n_unique_{side}")
+        return (self.unique_a if side == "a" else self.unique_b).count() if known is None else known
+
     def summary(self) -> str:
-        """Counts and medians as text, from one aggregate."""
-        m = self.matched
-        known = lambda c: F.col(c) if c in m.columns else F.lit(None)
-        r = m.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.median("_delta_mz_ppm").alias("ppm"),
-            F.median(F.abs("_delta_rt")).alias("rt"),
-            F.median("_intensity_corr").alias("r"),
-            F.avg("_confidence").alias("confidence"),
-            F.count(known("_perm_qvalue")).alias("tested"),
-            F.count_if(known("_fdr_significant").cast("boolean")).alias("significant"),
-            F.median(known("_specificity").cast("double")).alias("specificity"),
-            F.median(known("_ci_width").cast("double")).alias("width"),
-            F.count_if(F.length(known("_stat_notes").cast("string")) > 0).alias("flagged"),
-        ).first()
-        n = r["n"]
-        alone = {}
-        for side, rest in (("A", self.unique_a), ("B", self.unique_b)):
-            known_count = self.diagnostics.get(f"n_unique_{side.lower()}")
-            alone[side] = rest.count() if known_count is None else known_count
+        """Counts and medians as text."""
+        r = self.summary_metrics().first()
+        n = r["n_matched"]
+        alone = {side.upper(): self._unmatched(side) for side in "ab"}
         blocks = [[(f"Table {side} features", n + k) for side, k in alone.items()] + [("Matched pairs", n)]]
         blocks[0] += [(f"Unique to {side}", f"{k} ({_share(k, n + k)})") for side, k in alone.items()]
         if n:
             blocks.append([(label, _fixed(r[c], places)) for label, c, places in SUMMARY_QUALITY])
-        if r["tested"]:
-            tests = [("FDR-significant", f"{r['significant']} of {n} ({_share(r['significant'], n)})")]
+        if r["n_tested"]:
+            tests = [("FDR-significant", f"{r['n_significant']} of {n} ({_share(r['n_significant'], n)})")]
             tests += [(label, _fixed(r[c], places)) for label, c, places in SUMMARY_TESTS]
-            if r["flagged"]:
-                tests.append(("Flagged (see _stat_notes)", r["flagged"]))
+            if r["n_flagged"]:
+                tests.append(("Flagged (see _stat_notes)", r["n_flagged"]))
             blocks.append(tests)
         return _boxed("Match summary", [*(_listed(block) for block in blocks)])
 
@@ -194,8 +203,8 @@ class MatchResult:
         n = self.matched.count()
         supported = self.matched.where(tier_of().isin(1, 2)).count() if set(_NEEDED) <= set(self.matched.columns) else 0
         out = {}
-        for side, rest in (("a", self.unique_a), ("b", self.unique_b)):
-            total = max(n + self.diagnostics.get(f"n_unique_{side}", rest.count()), 1)
+        for side in "ab":
+            total = max(n + self._unmatched(side), 1)
             out |= {f"matched_{side}": 100 * n / total, f"supported_{side}": 100 * supported / total}
         return out
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from massweave.config import StatTestParams
 from massweave.functions.arrays import log1p_if, row_mean_imputed
+from massweave.plans.runtime import cut_lineage, small_enough
 
 #: Raw data span at least this factor between their largest and smallest positive value.
 RAW_RANGE = 1e4
@@ -45,11 +46,17 @@ STAT_COLUMNS = (
 )
 
 
-def is_raw(pairs: DataFrame) -> bool:
-    """Whether the intensities of all matched pairs, both sides together, look untransformed."""
+def intensity_span(pairs: DataFrame) -> tuple[int, float | None, bool]:
+    """Number of positive intensities of all pairs, both sides together, their span, and whether they look untransformed."""
     values = pairs.select(F.explode(F.concat("x_a", "x_b")).alias("v")).where("v > 0")
     row = values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    return row["n"] >= 2 and row["hi"] / row["lo"] >= RAW_RANGE
+    span = row["hi"] / row["lo"] if row["n"] else None
+    return row["n"], span, row["n"] >= 2 and span >= RAW_RANGE
+
+
+def is_raw(pairs: DataFrame) -> bool:
+    """Whether the intensities of all matched pairs, both sides together, look untransformed."""
+    return intensity_span(pairs)[2]
 
 
 def matrices(pairs: DataFrame, raw: bool) -> DataFrame:
@@ -178,19 +185,41 @@ def resampling_tests(
     )
 
 
-def bh_qvalues(df: DataFrame, p: str = "_perm_pvalue", q: str = "_perm_qvalue") -> DataFrame:
+#: Distinct p-values that are ranked in one task; more are ranked in ranges.
+MOST_PVALUES = 200_000
+
+
+def _ranked_pvalues(counts: DataFrame, q: str, most: int) -> DataFrame:
+    """``(_p, q)`` from ``(_p, _n)``: one task ranks few distinct values, ranges of values rank many."""
+    if small_enough(counts, most):
+        ranged = counts.withColumn("_range", F.lit(0))
+    else:
+        # The ranges hold about equally many values; writing them once keeps them as they are.
+        ranged = cut_lineage(counts.repartitionByRange("_p").withColumn("_range", F.spark_partition_id()))
+    upto, onward = (W.unboundedPreceding, W.currentRow), (W.unboundedPreceding, -1)
+    # One row for each range.
+    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(W.partitionBy().orderBy("_range").rowsBetween(*onward)), F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_m"))
+    inside = W.partitionBy("_range").orderBy("_p").rowsBetween(*upto)
+    raw = ranged.join(sums, "_range").withColumn("_rank", F.col("_before") + F.sum("_n").over(inside)).withColumn("_raw", F.col("_p") * F.col("_m") / F.col("_rank"))
+    raw = raw.select("_range", "_p", "_raw")
+    later = W.partitionBy().orderBy(F.desc("_range")).rowsBetween(*onward)
+    least = raw.groupBy("_range").agg(F.min("_raw").alias("_own")).select("_range", F.min("_own").over(later).alias("_later"))
+    down = W.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(*upto)
+    return raw.join(least, "_range").select("_p", F.least(F.min("_raw").over(down), F.col("_later"), F.lit(1.0)).alias(q))
+
+
+def bh_qvalues(df: DataFrame, p: str = "_perm_pvalue", q: str = "_perm_qvalue", most: int = MOST_PVALUES) -> DataFrame:
     """Add Benjamini-Hochberg q-values; NULL (and NaN) p-values stay without one.
 
     Tied p-values share the q-value of the largest rank among them, so one row for each
-    distinct p-value is enough: there are few after a permutation test, and they are counted
-    before anything is sorted.
+    distinct p-value is enough.  A permutation test has few of them.  Of a continuous column
+    they may be as many as rows: beyond ``most`` they are cut into ranges, with ranks and
+    minima carried from range to range; the result is the same.
     """
     value = F.when(~F.isnan(p), F.col(p))
     counts = df.where(value.isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    rank = F.sum("_n").over(W.partitionBy().orderBy("_p").rowsBetween(W.unboundedPreceding, 0))
-    whole = F.sum("_n").over(W.partitionBy())
-    least = F.min("_raw").over(W.partitionBy().orderBy(F.desc("_p")).rowsBetween(W.unboundedPreceding, 0))
-    ranked = counts.withColumn("_raw", F.col("_p") * whole / rank).select("_p", F.least(least, F.lit(1.0)).alias(q))
+    ranked = _ranked_pvalues(counts, q, most)
     return df.join(ranked, value == F.col("_p"), "left").drop("_p")
 
 

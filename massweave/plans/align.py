@@ -9,7 +9,7 @@ from massweave.config import StatTestParams, Tolerances
 from massweave.operators import assignment, band_join, drift, ingest, scoring, significance
 from massweave.operators.results import MatchResult
 from massweave.operators.roles import ColumnMap, infer_column_map, shared_samples
-from massweave.plans.runtime import cut_lineage, ship_package
+from massweave.plans.runtime import cut_lineage, ship_package, small_enough
 
 EDGE_METRICS = (("confidence", "_confidence"), ("delta_mz_ppm", "_delta_mz_ppm"), ("delta_rt", "_delta_rt"), ("intensity_corr", "_intensity_corr"))
 
@@ -59,16 +59,17 @@ class PeakMatcher:
         self.keep_original_rt = keep_original_rt
 
     def candidates(self, a: DataFrame, b: DataFrame) -> tuple[DataFrame, drift.Drift | None]:
-        """Candidate pairs of slim frames with both vectors, after the correction of drift."""
-        keep = {"keep_a": ("x",), "keep_b": ("x",)}
-        pairs = cut_lineage(band_join.candidate_pairs(a, b, self.tol, **keep))
-        if not self.rt_drift_correction or pairs.count() < drift.LEAST_PAIRS:
-            return pairs, None
-        fit = drift.fit_drift(pairs, self.drift_model)
-        if fit is None:
-            return pairs, None
-        moved = a.withColumn("rt", fit.corrected(F.col("rt")))
-        return cut_lineage(band_join.candidate_pairs(moved, b, self.tol, **keep)), fit
+        """Candidate pairs of slim frames with both vectors, after the correction of drift.
+
+        The first join only fits the drift and carries no vectors.
+        """
+        fit = None
+        if self.rt_drift_correction:
+            anchors = cut_lineage(band_join.candidate_pairs(a, b, self.tol))
+            if not small_enough(anchors, drift.LEAST_PAIRS - 1):
+                fit = drift.fit_drift(anchors, self.drift_model)
+        moved = a if fit is None else a.withColumn("rt", fit.corrected(F.col("rt")))
+        return cut_lineage(band_join.candidate_pairs(moved, b, self.tol, ("x",), ("x",))), fit
 
     def match(
         self,
@@ -84,6 +85,7 @@ class PeakMatcher:
         """Link two tables; A's retention times come out corrected for drift."""
         if label_a == label_b:
             raise ValueError("the labels of the two tables must differ")
+        df_a, df_b = ingest.as_frame(df_a), ingest.as_frame(df_b)
         map_a.validate_against(df_a)
         map_b.validate_against(df_b)
         ship_package(df_a.sparkSession)
@@ -148,13 +150,14 @@ def align(
     label_b: str = "B",
     **options,
 ) -> MatchResult:
-    """Link two feature tables.
+    """Link two feature tables, Spark or pandas frames.
 
     Column overrides hold for both tables, sample lists for one each; a map given makes the
     overrides moot for its table.  ``options`` are those of :class:`PeakMatcher`
     (``drift_model``, ``keep_original_rt``) and of its ``match`` (``id_col_a``, ``id_col_b``:
-    unique ids that spare numbering the rows).
+    unique ids of any type; integer ones spare numbering the rows).
     """
+    df_a, df_b = ingest.as_frame(df_a), ingest.as_frame(df_b)
     roles = {"mz_col": mz_col, "rt_col": rt_col, "mz_min_col": mz_min_col, "mz_max_col": mz_max_col, "rt_min_col": rt_min_col, "rt_max_col": rt_max_col}
     map_a = map_a or infer_column_map(df_a, intensity_cols=intensity_cols_a, **roles)
     map_b = map_b or infer_column_map(df_b, intensity_cols=intensity_cols_b, **roles)

@@ -1,12 +1,21 @@
-"""Queries of the linkage's own operators, on a pair of feature tables made from the star schema.
+"""Queries of the linkage's own operators, on pairs of feature tables made from the star schema.
 
 One row for each part: m/z is its price, RT twenty times its size, six samples are revenues by
 supplier residue.  The second table is a perturbed copy, and each side lacks another tenth of
-the rows.
+the rows.  Three variants:
+
+=========  ==============================================================================
+plain      as described: parts of one price compete, never one side's rows alone
+raw        some values of the last sample are tiny, so the tests take logarithms
+crowded    m/z repeats every 89 parts and a lower correlation is enough, so stars and
+           contested groups are common; with bounds of RT
+=========  ==============================================================================
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +23,19 @@ from pyspark.sql import functions as F
 from massweave.config import StatTestParams, Tolerances
 from massweave.functions.arrays import log1p_if, row_mean_imputed, with_correlation
 from massweave.operators import assignment, band_join, drift, ingest, results, roles, scoring, significance
-from massweave.plans.align import EDGE_METRICS, align
-from massweave.plans.runtime import cut_lineage, query, table
+from massweave.plans import linkage_sql
+from massweave.plans.align import align
+from massweave.plans.linkage_sql import CROWDED, PLAIN, RAW, RESAMPLES, SAMPLES, SHUFFLES, TWO_SAMPLES, Case
+from massweave.plans.runtime import cut_lineage, query, shared_folder, table
+from massweave.sources.readers import read_delimited
 
-SAMPLES = [f"s{k}" for k in range(6)]
 TOL = Tolerances()
-MAP = roles.ColumnMap("mz", "rt", SAMPLES)
-
-#: Shuffles and resamples of six samples, small enough to be written out in SQL.
-SHUFFLES = [[0, 1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 0], [5, 4, 3, 2, 1, 0], [2, 0, 1, 5, 3, 4], [3, 5, 0, 1, 2, 4], [4, 3, 5, 2, 0, 1], [1, 0, 3, 2, 5, 4]]
-RESAMPLES = [[0, 0, 1, 2, 3, 5], [5, 4, 4, 2, 1, 0], [3, 3, 3, 1, 0, 5], [2, 1, 0, 0, 4, 4], [0, 1, 2, 3, 4, 5], [5, 5, 2, 2, 1, 3], [1, 3, 4, 4, 5, 0]]
+NO_TESTS = StatTestParams(run_stats=False)
+SPEARMAN = StatTestParams(corr_method="spearman", n_permutations=200, n_bootstrap=100)
 
 
-def feature_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """Both tables: ``id, mz, rt, s0 ... s5``."""
+def feature_tables(spark: SparkSession, directory: str, case: Case = PLAIN) -> tuple[DataFrame, DataFrame]:
+    """Both tables: ``id, mz, rt, s0 ... s5``, in the crowded case with ``rtmin`` and ``rtmax``."""
     residue = F.col("l_suppkey") % 6
     sums = table(spark, directory, "lineitem").groupBy(F.col("l_partkey").alias("id"), residue.alias("s")).agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
     wide = sums.groupBy("id").agg(*[F.max(F.when(F.col("s") == k, F.col("v"))).alias(f"s{k}") for k in range(6)])
@@ -35,35 +43,53 @@ def feature_tables(spark: SparkSession, directory: str) -> tuple[DataFrame, Data
     x = part.join(wide, "id")
     n = F.col("id")
     cast = lambda c: c.cast("double")
+    if case.kind == "crowded":
+        x = x.withColumn("mz", 200 + cast(n * 37 % 89) * 0.5 + cast(F.floor(n / 2000)) * 50)
+    if case.kind == "raw":
+        x = x.withColumn("s5", F.when(n % 50 == 5, F.col("s5") * 1e-5).otherwise(F.col("s5")))
     b = x.where(n % 10 != 0).select(
         "id",
         (F.col("mz") * (1 + cast(n % 7 - 3) * F.lit(1e-6))).alias("mz"),
         (F.col("rt") + cast(n % 5 - 2) * 3).alias("rt"),
         *[(F.col(f"s{k}") * (1 + cast((n * 31 + k) % 11 - 5) / 100)).alias(f"s{k}") for k in range(6)],
     )
-    return x.where(n % 10 != 1), b
+    out = (x.where(n % 10 != 1), b)
+    if case.kind != "crowded":
+        return out
+    return tuple(t.withColumn("rtmin", F.col("rt") - cast(4 + n % 3)).withColumn("rtmax", F.col("rt") + cast(5 + n % 4)) for t in out)
 
 
-def _slim(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(ingest.slim(ingest.numbered(t, "id"), MAP, SAMPLES) for t in feature_tables(spark, directory))
+def _map(case: Case) -> roles.ColumnMap:
+    bounds = {"rt_min": "rtmin", "rt_max": "rtmax"} if case.kind == "crowded" else {}
+    return roles.ColumnMap("mz", "rt", SAMPLES[: case.samples], **bounds)
 
 
-def _pairs(spark: SparkSession, directory: str, tol: Tolerances = TOL) -> DataFrame:
-    a, b = _slim(spark, directory)
+def _slim(spark: SparkSession, directory: str, case: Case = PLAIN) -> tuple[DataFrame, DataFrame]:
+    return tuple(ingest.slim(ingest.numbered(t, "id"), _map(case), SAMPLES[: case.samples]) for t in feature_tables(spark, directory, case))
+
+
+def _pairs(spark: SparkSession, directory: str, tol: Tolerances = TOL, case: Case = PLAIN) -> DataFrame:
+    a, b = _slim(spark, directory, case)
     return band_join.candidate_pairs(a, b, tol, ("x",), ("x",))
 
 
-def _edges(spark: SparkSession, directory: str) -> DataFrame:
+def _edges(spark: SparkSession, directory: str, case: Case = PLAIN) -> DataFrame:
     """Filtered pairs, written once as the whole plan does: several steps read them."""
-    return cut_lineage(scoring.correlation_filter(scoring.scored(_pairs(spark, directory), TOL), TOL, len(SAMPLES)))
+    return cut_lineage(scoring.correlation_filter(scoring.scored(_pairs(spark, directory, case.tol, case), case.tol), case.tol, case.samples))
 
 
-def _chosen(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+def _chosen(spark: SparkSession, directory: str, case: Case = PLAIN) -> tuple[DataFrame, DataFrame]:
     """Pairs of the optimal assignment, with all metrics, and all edges."""
-    edges = _edges(spark, directory)
+    edges = _edges(spark, directory, case)
     return cut_lineage(edges.join(assignment.assign(edges), ["idx_a", "idx_b"])), edges
 
 
+def _linked(spark: SparkSession, directory: str, case: Case, params: StatTestParams | None = None, **options) -> results.MatchResult:
+    """The whole linkage of a case."""
+    a, b = feature_tables(spark, directory, case)
+    return align(a, b, map_a=_map(case), map_b=_map(case), tol=case.tol, rt_drift_correction=case.drift, stat_params=params, id_col_a="id", id_col_b="id", **options)
+
+
 def _six(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in df.columns])
 
@@ -169,18 +195,40 @@ def drift_ridge2(spark, directory):
 @query
 def drift_rejoin(spark, directory):
     a, b = _slim(spark, directory)
-    fit = drift.fit_drift(band_join.candidate_pairs(a, b, TOL), "linear")
-    return band_join.candidate_pairs(a.withColumn("rt", fit.corrected(F.col("rt"))), b, TOL).select("idx_a", "idx_b")
+    fit = drift.fit_drift(band_join.candidate_pairs(a, b, TOL))
+    moved = a.withColumn("rt", fit.corrected(F.col("rt")))
+    return _six(band_join.candidate_pairs(moved, b, TOL).select("idx_a", "idx_b", "rt_a"), "rt_a")
+
+
+@query
+def drift_bounds(spark, directory):
+    """Retention times and bounds of the first table as the linkage returns them, of unmatched rows too."""
+    r = _linked(spark, directory, Case("crowded", CROWDED.tol, drift=True), NO_TESTS)
+    names = ["id", "rt", "rtmin", "rtmax"]
+    rows = r.matched.select(*[F.col(f"{c}_A").alias(c) for c in names]).unionByName(r.unique_a.select(*names))
+    return _six(rows, *names[1:])
 
 
 @query
 def isolated_matches(spark, directory):
-    return assignment.isolated(assignment.with_degrees(_edges(spark, directory))).select("idx_a", "idx_b")
+    return assignment.isolated(assignment.with_degrees(_edges(spark, directory, CROWDED))).select("idx_a", "idx_b")
 
 
 @query
 def star_matches(spark, directory):
-    return assignment.best_of_stars(assignment.with_degrees(_edges(spark, directory))).select("idx_a", "idx_b")
+    return assignment.best_of_stars(assignment.with_degrees(_edges(spark, directory, CROWDED))).select("idx_a", "idx_b")
+
+
+@query
+def contested_pairs(spark, directory):
+    return assignment.contested(assignment.with_degrees(_edges(spark, directory, CROWDED))).select("idx_a", "idx_b")
+
+
+@query
+def component_labels(spark, directory):
+    """The connected component of every contested pair."""
+    hard = assignment.contested(assignment.with_degrees(_edges(spark, directory, CROWDED)))
+    return assignment.components(hard).select("idx_a", "idx_b", "component")
 
 
 @query
@@ -188,17 +236,25 @@ def bipartite_matches(spark, directory):
     return assignment.assign(_edges(spark, directory))
 
 
+@query
+def bipartite_crowded(spark, directory):
+    return assignment.assign(_edges(spark, directory, CROWDED))
+
+
 @query
 def specificity(spark, directory):
-    chosen, edges = _chosen(spark, directory)
+    chosen, edges = _chosen(spark, directory, CROWDED)
     return _six(significance.specificity(chosen, edges).select("idx_a", "idx_b", "_specificity"), "_specificity")
 
 
 @query
 def log_detect(spark, directory):
-    p = _pairs(spark, directory)
-    values = p.select(F.explode(F.concat("x_a", "x_b")).alias("v")).where("v > 0")
-    return values.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("v") / F.min("v"), 6).alias("span"), (F.max("v") / F.min("v") >= significance.RAW_RANGE).alias("raw"))
+    """Whether the values of all candidate pairs look untransformed, plain and raw."""
+    rows = []
+    for case in (PLAIN, RAW):
+        n, span, raw = significance.intensity_span(_pairs(spark, directory, TOL, case))
+        rows.append((case.kind, n, None if span is None else round(span, 6), raw))
+    return spark.createDataFrame(rows, "kind string, n bigint, span double, raw boolean")
 
 
 @query
@@ -208,21 +264,28 @@ def impute_matrix(spark, directory):
     return a.select("idx", F.posexplode(filled).alias("k", "v")).select("idx", "k", F.round("v", 6).alias("v"))
 
 
-def _small_tests(spark, directory) -> DataFrame:
-    chosen, _ = _chosen(spark, directory)
-    p = _pairs(spark, directory).join(chosen.select("idx_a", "idx_b"), ["idx_a", "idx_b"])
+def _small_tests(spark, directory, case: Case, method: str = "pearson") -> DataFrame:
+    """Both tests with few fixed shuffles and resamples, over the whole assignment."""
+    chosen, _ = _chosen(spark, directory, case)
+    p = _pairs(spark, directory, case.tol, case).join(chosen.select("idx_a", "idx_b"), ["idx_a", "idx_b"])
     positions = (np.array(SHUFFLES), np.array(RESAMPLES))
-    return significance.resampling_tests(significance.matrices(p, False), len(SAMPLES), StatTestParams(), positions)
+    return significance.resampling_tests(significance.matrices(p, False), case.samples, StatTestParams(corr_method=method), positions)
 
 
 @query
 def perm_pvalue_small(spark, directory):
-    return _six(_small_tests(spark, directory).select("idx_a", "idx_b", "_perm_pvalue"), "_perm_pvalue")
+    return _six(_small_tests(spark, directory, PLAIN).select("idx_a", "idx_b", "_perm_pvalue"), "_perm_pvalue")
 
 
 @query
 def bootstrap_ci_small(spark, directory):
-    return _six(_small_tests(spark, directory).select("idx_a", "idx_b", "_corr_ci_low", "_corr_ci_high"), "_corr_ci_low", "_corr_ci_high")
+    return _six(_small_tests(spark, directory, PLAIN).select("idx_a", "idx_b", "_corr_ci_low", "_corr_ci_high"), "_corr_ci_low", "_corr_ci_high")
+
+
+@query
+def spearman_tests_small(spark, directory):
+    tests = _small_tests(spark, directory, CROWDED, "spearman").select("idx_a", "idx_b", "_perm_pvalue", "_corr_ci_low", "_corr_ci_high")
+    return _six(tests, "_perm_pvalue", "_corr_ci_low", "_corr_ci_high")
 
 
 @query
@@ -285,206 +348,118 @@ def suspicious(spark, directory):
     return _evidence_result(spark, directory).suspicious_matches().select("p_partkey")
 
 
+def _rounded(matched: DataFrame) -> DataFrame:
+    """A table of matches with its numbers rounded, so that two engines can be compared."""
+    return matched.select(*[F.round(c, 9 if c == "mz_B" else 6).alias(c) if t == "double" else F.col(c) for c, t in matched.dtypes])
+
+
 @query
-def match_summary(spark, directory):
-    chosen, _ = _chosen(spark, directory)
-    return chosen.agg(
-        F.count(F.lit(1)).alias("n_matched"),
-        F.round(F.median("delta_mz_ppm"), 6).alias("median_ppm"),
-        F.round(F.median(F.abs("delta_rt")), 6).alias("median_abs_rt"),
-        F.round(F.median("intensity_corr"), 6).alias("median_r"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+def align_matched(spark, directory):
+    """The whole linkage with default settings: drift, assignment, 1,000 shuffles, 500 resamples."""
+    return _rounded(_linked(spark, directory, Case("plain", TOL, drift=True)).matched)
+
+
+@query
+def align_crowded(spark, directory):
+    """The same where rows have many candidates."""
+    return _rounded(_linked(spark, directory, Case("crowded", CROWDED.tol, drift=True)).matched)
+
+
+@query
+def align_raw_spearman(spark, directory):
+    """Raw intensities, rank correlation in the tests."""
+    return _rounded(_linked(spark, directory, RAW, SPEARMAN).matched)
+
+
+@query
+def align_two_samples(spark, directory):
+    """Too few shared samples: no filter and no tests but the specificity.
+
+    Without correlations many assignments are equally good, so what they share is reported.
+    """
+    m = _rounded(_linked(spark, directory, TWO_SAMPLES).matched)
+    return m.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("id_A").alias("n_a"),
+        F.count_distinct("id_B").alias("n_b"),
+        F.round(F.sum("_confidence"), 4).alias("total"),
+        (F.count("_perm_pvalue") + F.count("_perm_qvalue") + F.count("_ci_width")).alias("n_tested"),
+        F.count("_specificity").alias("n_specificity"),
+        F.min("_stat_notes").alias("least_note"),
+        F.max("_stat_notes").alias("last_note"),
     )
 
 
-def _lonely(spark, directory, side: int) -> DataFrame:
-    chosen, _ = _chosen(spark, directory)
-    t = feature_tables(spark, directory)[side]
-    return t.join(chosen.select(F.col(("idx_a", "idx_b")[side]).alias("id")), "id", "left_anti").select("id")
+@query
+def matched_wide(spark, directory):
+    """Without tests."""
+    return _rounded(_linked(spark, directory, CROWDED, NO_TESTS).matched)
 
 
 @query
 def unique_a(spark, directory):
-    return _lonely(spark, directory, 0)
+    return _linked(spark, directory, CROWDED, NO_TESTS).unique_a
 
 
 @query
 def unique_b(spark, directory):
-    return _lonely(spark, directory, 1)
+    b = _linked(spark, directory, CROWDED, NO_TESTS).unique_b
+    return _six(b, *SAMPLES).withColumn("mz", F.round("mz", 9))
 
 
 @query
-def matched_wide(spark, directory):
-    chosen, _ = _chosen(spark, directory)
-    a, b = feature_tables(spark, directory)
-    named = lambda t, label: t.toDF(*[f"{c}_{label}" for c in t.columns])
-    wide = chosen.join(named(a, "A"), F.col("idx_a") == F.col("id_A")).join(named(b, "B"), F.col("idx_b") == F.col("id_B"))
-    metrics = [F.round(c, 6).alias(n) for c, n in EDGE_METRICS]
-    round_b = [F.round("mz_B", 9).alias("mz_B"), *[F.round(f"{s}_B", 6).alias(f"{s}_B") for s in SAMPLES]]
-    return wide.select("id_A", "mz_A", "rt_A", *[f"{s}_A" for s in SAMPLES], "id_B", "rt_B", *round_b, *metrics)
+def match_summary(spark, directory):
+    metrics = _linked(spark, directory, CROWDED).summary_metrics()
+    return _six(metrics, *[c for c, t in metrics.dtypes if t == "double"])
+
+
+@query
+def summary_lines(spark, directory):
+    """The report as text, without the rules around it."""
+    lines = [x for x in _linked(spark, directory, CROWDED).summary().splitlines() if x.startswith("  ")]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
 
 
 @query
 def diagnostics(spark, directory):
-    a, b = feature_tables(spark, directory)
-    chosen, edges = _chosen(spark, directory)
-    counts = [("n_features_a", a), ("n_features_b", b), ("n_matched", chosen), ("n_candidates_evaluated", edges)]
-    rows = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counts]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return spark.createDataFrame(list(_linked(spark, directory, CROWDED).diagnostics.items()), "name string, n bigint")
 
 
 @query
-def align_matched(spark, directory):
-    """The whole linkage with default settings."""
-    a, b = feature_tables(spark, directory)
-    return align(a, b, intensity_cols_a=SAMPLES, intensity_cols_b=SAMPLES, id_col_a="id", id_col_b="id").matched
-
-
-_FX = """WITH l AS (
-  SELECT l_partkey AS k, l_suppkey % 6 AS s, ROUND(SUM(l_extendedprice), 2) AS v FROM lineitem GROUP BY l_partkey, l_suppkey % 6),
-w AS (SELECT k, """ + ", ".join(f"MAX(v) FILTER (WHERE s = {k}) AS s{k}" for k in range(6)) + """ FROM l GROUP BY k),
-x AS (SELECT p_partkey AS id, p_retailprice AS mz, CAST(p_size AS DOUBLE) * 20 AS rt, s0, s1, s2, s3, s4, s5 FROM part JOIN w ON p_partkey = k),
-fa AS (SELECT * FROM x WHERE id % 10 <> 1),
-fb AS (SELECT id, mz * (1 + CAST(id % 7 - 3 AS DOUBLE) * 1e-6) AS mz, rt + CAST(id % 5 - 2 AS DOUBLE) * 3 AS rt, """ + ", ".join(
-    f"s{k} * (1 + CAST((id * 31 + {k}) % 11 - 5 AS DOUBLE) / 100) AS s{k}" for k in range(6)
-) + """ FROM x WHERE id % 10 <> 0)"""
-
-_JOIN = "fa.id AS idx_a, fb.id AS idx_b FROM fa JOIN fb ON ABS(fb.mz - fa.mz) <= fa.mz * 10 / 1e6 AND ABS(fb.rt - fa.rt) <= 30"
-
-_LONG = " UNION ALL ".join(
-    f"SELECT c.idx_a, c.idx_b, {k} AS k, fa.s{k} AS va, fb.s{k} AS vb FROM c JOIN fa ON fa.id = idx_a JOIN fb ON fb.id = idx_b" for k in range(6)
-)
-
-_CORR = f"""{_FX}, c AS (SELECT {_JOIN}), v AS ({_LONG}),
-ok AS (SELECT * FROM v WHERE va > 0 AND vb > 0),
-usable AS (SELECT idx_a, idx_b FROM ok GROUP BY idx_a, idx_b HAVING COUNT(*) >= 3 AND MIN(va) < MAX(va) AND MIN(vb) < MAX(vb)),
-p AS (SELECT idx_a, idx_b, GREATEST(-1, LEAST(1, CORR(va, vb))) AS r FROM ok SEMI JOIN usable USING (idx_a, idx_b) GROUP BY idx_a, idx_b)"""
-
-_SCORED = f"""{_CORR},
-m AS (SELECT c.idx_a, c.idx_b, ABS(fa.mz - fb.mz) / ((fa.mz + fb.mz) / 2) * 1e6 AS delta_mz_ppm, fb.rt - fa.rt AS delta_rt, p.r AS intensity_corr
-  FROM c JOIN fa ON fa.id = c.idx_a JOIN fb ON fb.id = c.idx_b LEFT JOIN p ON p.idx_a = c.idx_a AND p.idx_b = c.idx_b),
-g AS (SELECT *, EXP(-0.5 * POW(delta_mz_ppm / 5, 2)) AS gm, EXP(-0.5 * POW(delta_rt / 15, 2)) AS gr FROM m),
-scored AS (SELECT idx_a, idx_b, delta_mz_ppm, delta_rt, intensity_corr,
-  GREATEST(0, LEAST(1, CASE WHEN intensity_corr IS NULL THEN 0.525 * gm + 0.475 * gr ELSE 0.35 * gm + 0.30 * gr + 0.35 * (intensity_corr + 1) / 2 END)) AS confidence FROM g),
-e AS (SELECT * FROM scored WHERE intensity_corr IS NULL OR intensity_corr >= 0.7)"""
-
-_EASY = f"""{_SCORED},
-d0 AS (SELECT *, COUNT(*) OVER (PARTITION BY idx_a) AS da, COUNT(*) OVER (PARTITION BY idx_b) AS db FROM e),
-d AS (SELECT *, MAX(db) OVER (PARTITION BY idx_a) AS fb_, MAX(da) OVER (PARTITION BY idx_b) AS fa_ FROM d0),
-iso AS (SELECT idx_a, idx_b FROM d WHERE da = 1 AND db = 1),
-star AS (SELECT idx_a, idx_b FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY CASE WHEN da > 1 THEN 'a' ELSE 'b' END, CASE WHEN da > 1 THEN idx_a ELSE idx_b END ORDER BY confidence DESC, idx_a, idx_b) AS k
-  FROM d WHERE (da > 1 AND fb_ = 1) OR (db > 1 AND fa_ = 1)) WHERE k = 1),
-easy AS (SELECT * FROM iso UNION ALL SELECT * FROM star),
-chosen AS (SELECT e.* FROM e JOIN easy USING (idx_a, idx_b))"""
-
-_FULL = f"""{_EASY},
-vv AS (SELECT v.* FROM v SEMI JOIN chosen USING (idx_a, idx_b)),
-pos AS (SELECT idx_a, idx_b, k, CASE WHEN va > 0 THEN va END AS va, CASE WHEN vb > 0 THEN vb END AS vb FROM vv),
-full_ AS (SELECT idx_a, idx_b, k, COALESCE(va, AVG(va) OVER w, 0) AS va, COALESCE(vb, AVG(vb) OVER w, 0) AS vb,
-  COUNT(*) FILTER (WHERE va IS NOT NULL AND vb IS NOT NULL) OVER w AS n FROM pos WINDOW w AS (PARTITION BY idx_a, idx_b))"""
-
-
-def _positions(rows: list[list[int]]) -> str:
-    return "(VALUES " + ", ".join(f"({t}, {k}, {j})" for t, row in enumerate(rows) for k, j in enumerate(row)) + ") AS i(t, k, j)"
-
-
-_EVIDENCE = """WITH ev AS (SELECT p_partkey, ROUND(p_partkey * 13 % 1000 / 1000.0, 6) AS _intensity_corr, ROUND(p_partkey * 7 % 1000 / 1000.0, 6) AS _confidence,
-  ROUND(p_partkey * 3 % 100 / 10.0, 6) AS _delta_mz_ppm, ROUND((p_partkey * 29 % 600 - 300) / 10.0, 6) AS _delta_rt,
-  CASE WHEN p_partkey % 19 <> 0 THEN p_partkey * 37 % 80 / 1000::DOUBLE END AS _perm_qvalue,
-  COALESCE(CASE WHEN p_partkey % 19 <> 0 THEN p_partkey * 37 % 80 / 1000::DOUBLE END < 0.05, FALSE) AS _fdr_significant,
-  ROUND(p_partkey * 11 % 100 / 100.0, 6) AS _specificity, (p_partkey * 31 % 200 - 60) / 100::DOUBLE AS _corr_ci_low,
-  CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN 2.0::DOUBLE ELSE p_partkey * 17 % 90 / 100::DOUBLE END AS _ci_width,
-  p_partkey % 23 <> 0 AS valid FROM part),
-tiered AS (SELECT *, CASE WHEN NOT _fdr_significant THEN 4 WHEN _ci_width < 0.4 AND _specificity >= 0.5 THEN 1
-  WHEN (_ci_width >= 0.4 AND _ci_width < 2 AND _corr_ci_low >= 0) OR (_ci_width = 2 AND _specificity >= 0.5) THEN 2 ELSE 3 END AS tier FROM ev),
-noted AS (SELECT *, CONCAT_WS('|', CASE WHEN _ci_width > 0.4 THEN 'wide_ci' END, CASE WHEN _specificity < 0.1 THEN 'low_specificity' END,
-  CASE WHEN NOT valid THEN 'insufficient_valid_samples' END) AS _stat_notes FROM ev)"""
-
-_UNPIVOT = " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT({c}) AS n, MIN({c}) AS lowest, MAX({c}) AS highest FROM fa" for c in ("mz", "rt", *SAMPLES))
-
-_MEDIANS = ", ".join(
-    f"ROUND_EVEN(MEDIAN({'ABS(' + c + ')' if c == '_delta_rt' else c}), {places}) AS {n}" for n, c, places in results.TIER_MEDIANS
-)
-
-SQL = {
-    "feature_table_a": f"{_FX} SELECT * FROM fa",
-    "feature_table_b": f"{_FX} SELECT id, ROUND(mz, 9) AS mz, rt, {', '.join(f'ROUND({s}, 6) AS {s}' for s in SAMPLES)} FROM fb",
-    "role_stats": f"{_FX} {_UNPIVOT}",
-    "mz_tolerance": f"{_FX} SELECT id, ROUND(mz * 10 / 1e6, 9) AS tol_ppm, ROUND(GREATEST(mz * 10 / 1e6, 0.0095), 9) AS tol_wider FROM fa",
-    "candidate_pairs": f"{_FX} SELECT {_JOIN}",
-    "candidate_pairs_mz_da": f"""{_FX} SELECT fa.id AS idx_a, fb.id AS idx_b FROM fa JOIN fb
-      ON ABS(fb.mz - fa.mz) <= GREATEST(fa.mz * 5 / 1e6, 0.15) AND ABS(fb.rt - fa.rt) <= 10""",
-    "delta_ppm": f"{_SCORED} SELECT idx_a, idx_b, ROUND(delta_mz_ppm, 6) AS ppm, delta_rt FROM scored",
-    "gaussian_similarity": f"{_SCORED} SELECT idx_a, idx_b, ROUND(gr, 6) AS similarity FROM g",
-    "pair_corr_pearson": f"{_CORR} SELECT c.idx_a, c.idx_b, ROUND(r, 6) AS r FROM c LEFT JOIN p ON p.idx_a = c.idx_a AND p.idx_b = c.idx_b",
-    "pair_corr_spearman": f"""{_CORR}, ranked AS (SELECT idx_a, idx_b,
-        RANK() OVER (PARTITION BY idx_a, idx_b ORDER BY va) + (COUNT(*) OVER (PARTITION BY idx_a, idx_b, va) - 1) / 2.0 AS ra,
-        RANK() OVER (PARTITION BY idx_a, idx_b ORDER BY vb) + (COUNT(*) OVER (PARTITION BY idx_a, idx_b, vb) - 1) / 2.0 AS rb FROM ok),
-      q AS (SELECT idx_a, idx_b, CORR(ra, rb) AS r FROM ranked SEMI JOIN usable USING (idx_a, idx_b) GROUP BY idx_a, idx_b)
-      SELECT c.idx_a, c.idx_b, ROUND(q.r, 6) AS r FROM c LEFT JOIN q ON q.idx_a = c.idx_a AND q.idx_b = c.idx_b""",
-    "embedding_corr": """WITH e AS (SELECT vec_id, UNNEST(embedding)::DOUBLE AS v, GENERATE_SUBSCRIPTS(embedding, 1) AS k FROM embeddings)
-      SELECT a.vec_id, ROUND(CORR(a.v, b.v), 6) AS r FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND a.k = b.k GROUP BY a.vec_id""",
-    "confidence_score": f"""{_SCORED} SELECT idx_a, idx_b, ROUND(delta_mz_ppm, 6) AS delta_mz_ppm, delta_rt, ROUND(intensity_corr, 6) AS intensity_corr,
-      ROUND(confidence, 6) AS confidence FROM scored""",
-    "confidence_null_corr": f"{_SCORED} SELECT idx_a, idx_b, ROUND(delta_mz_ppm, 6) AS delta_mz_ppm, ROUND(0.525 * gm + 0.475 * gr, 6) AS confidence FROM g",
-    "corr_filter": f"{_SCORED} SELECT idx_a, idx_b FROM e",
-    "drift_linear": f"""{_SCORED}, y AS (SELECT fa.rt AS x, m.delta_rt AS y FROM m JOIN fa ON fa.id = m.idx_a)
-      SELECT ROUND(REGR_INTERCEPT(y, x), 5) AS intercept, ROUND(REGR_SLOPE(y, x), 7) AS slope, 0.0::DOUBLE AS curve FROM y""",
-    "drift_ridge2": f"""{_SCORED}, y AS (SELECT fa.rt AS x, fa.rt * fa.rt AS xx, m.delta_rt AS y FROM m JOIN fa ON fa.id = m.idx_a),
-      mean AS (SELECT AVG(x) AS mx, AVG(xx) AS mxx, AVG(y) AS my FROM y),
-      s AS (SELECT SUM((x - mx) * (x - mx)) + 1 AS uu, SUM((x - mx) * (xx - mxx)) AS uv, SUM((xx - mxx) * (xx - mxx)) + 1 AS vv,
-        SUM((x - mx) * (y - my)) AS ut, SUM((xx - mxx) * (y - my)) AS vt FROM y, mean),
-      b AS (SELECT (ut * vv - vt * uv) / (uu * vv - uv * uv) AS b1, (vt * uu - ut * uv) / (uu * vv - uv * uv) AS b2 FROM s)
-      SELECT ROUND(my - b1 * mx - b2 * mxx, 5) AS intercept, ROUND(b1, 7) AS slope, ROUND(b2, 9) AS curve FROM b, mean""",
-    "drift_rejoin": f"""{_SCORED}, y AS (SELECT fa.rt AS x, m.delta_rt AS y FROM m JOIN fa ON fa.id = m.idx_a),
-      f AS (SELECT REGR_INTERCEPT(y, x) AS c0, REGR_SLOPE(y, x) AS c1 FROM y),
-      moved AS (SELECT id, mz, rt + (c0 + c1 * rt) AS rt FROM fa, f)
-      SELECT a.id AS idx_a, fb.id AS idx_b FROM moved a JOIN fb ON ABS(fb.mz - a.mz) <= a.mz * 10 / 1e6 AND ABS(fb.rt - a.rt) <= 30""",
-    "isolated_matches": f"{_EASY} SELECT * FROM iso",
-    "star_matches": f"{_EASY} SELECT * FROM star",
-    "specificity": f"""{_EASY}, rival AS (SELECT c.idx_a, c.idx_b, MAX(e.confidence) AS best FROM chosen c JOIN e
-        ON (e.idx_a = c.idx_a OR e.idx_b = c.idx_b) AND NOT (e.idx_a = c.idx_a AND e.idx_b = c.idx_b) GROUP BY c.idx_a, c.idx_b)
-      SELECT c.idx_a, c.idx_b, ROUND(GREATEST(0, LEAST(1, c.confidence - COALESCE(best, 0))), 6) AS _specificity
-      FROM chosen c LEFT JOIN rival r ON r.idx_a = c.idx_a AND r.idx_b = c.idx_b""",
-    "log_detect": f"""{_CORR}, u AS (SELECT va AS x FROM v WHERE va > 0 UNION ALL SELECT vb FROM v WHERE vb > 0)
-      SELECT COUNT(*) AS n, ROUND(MAX(x) / MIN(x), 6) AS span, MAX(x) / MIN(x) >= 1e4 AS raw FROM u""",
-    "impute_matrix": f"""{_FX}, r AS ({" UNION ALL ".join(f"SELECT id, {k} AS k, CASE WHEN s{k} > 0 THEN LN(1 + s{k}) END AS v FROM fa" for k in range(6))})
-      SELECT id AS idx, k, ROUND(COALESCE(v, AVG(v) OVER (PARTITION BY id), 0), 6) AS v FROM r""",
-    "perm_pvalue_small": f"""{_FULL}, t AS (SELECT f.idx_a, f.idx_b, i.t, CORR(f.va, h.vb) AS r FROM full_ f JOIN {_positions(SHUFFLES)} ON i.k = f.k
-        JOIN full_ h ON h.idx_a = f.idx_a AND h.idx_b = f.idx_b AND h.k = i.j WHERE f.n >= 3 GROUP BY f.idx_a, f.idx_b, i.t),
-      o AS (SELECT idx_a, idx_b, CORR(va, vb) AS r FROM full_ WHERE n >= 3 GROUP BY idx_a, idx_b)
-      SELECT c.idx_a, c.idx_b, ROUND(GREATEST(COUNT(*) FILTER (WHERE t.r >= o.r - 1e-12), 1) / {len(SHUFFLES)}.0, 6) AS _perm_pvalue
-      FROM chosen c JOIN o ON o.idx_a = c.idx_a AND o.idx_b = c.idx_b JOIN t ON t.idx_a = c.idx_a AND t.idx_b = c.idx_b GROUP BY c.idx_a, c.idx_b""",
-    "bootstrap_ci_small": f"""{_FULL}, t AS (SELECT f.idx_a, f.idx_b, i.t, CORR(f.va, f.vb) AS r FROM {_positions(RESAMPLES)} JOIN full_ f ON f.k = i.j
-        WHERE f.n >= 3 GROUP BY f.idx_a, f.idx_b, i.t HAVING MIN(f.va) < MAX(f.va) AND MIN(f.vb) < MAX(f.vb))
-      SELECT idx_a, idx_b, ROUND(QUANTILE_CONT(GREATEST(-1, LEAST(1, r)), 0.025), 6) AS _corr_ci_low,
-        ROUND(QUANTILE_CONT(GREATEST(-1, LEAST(1, r)), 0.975), 6) AS _corr_ci_high FROM t GROUP BY idx_a, idx_b""",
-    "bh_fdr": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey * 7919 % 97 + 1) / 100::DOUBLE END AS p FROM part),
-      r AS (SELECT *, RANK() OVER (ORDER BY p) + COUNT(*) OVER (PARTITION BY p) - 1 AS k, COUNT(*) OVER () AS m FROM p WHERE p IS NOT NULL),
-      s AS (SELECT *, LEAST(1, MIN(p * m / k) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM r)
-      SELECT p.p_partkey, p.p, ROUND(s.q, 6) AS q FROM p LEFT JOIN s USING (p_partkey)""",
-    "stat_notes": f"{_EVIDENCE} SELECT p_partkey, _stat_notes FROM noted",
-    "triage_tiers": f"{_EVIDENCE} SELECT p_partkey, tier FROM tiered",
-    "triage_summary": f"""{_EVIDENCE}, t(k, tier_name, description) AS (VALUES {", ".join(f"({k}, '{n}', '{d}')" for k, n, d in results.TIERS)}),
-      g AS (SELECT tier, COUNT(*) AS n, {_MEDIANS} FROM tiered GROUP BY tier)
-      SELECT tier_name AS tier, description, COALESCE(n, 0) AS n, COALESCE(ROUND_EVEN(100.0 * n / SUM(n) OVER (), 1), 0) AS pct,
-        {", ".join(n for n, _, _ in results.TIER_MEDIANS)} FROM t LEFT JOIN g ON g.tier = t.k""",
-    "significant": f"{_EVIDENCE} SELECT p_partkey FROM ev WHERE _perm_qvalue < 0.03",
-    "suspicious": f"{_EVIDENCE} SELECT p_partkey FROM noted WHERE LENGTH(_stat_notes) > 0",
-    "match_summary": f"""{_EASY} SELECT COUNT(*) AS n_matched, ROUND(MEDIAN(delta_mz_ppm), 6) AS median_ppm, ROUND(MEDIAN(ABS(delta_rt)), 6) AS median_abs_rt,
-      ROUND(MEDIAN(intensity_corr), 6) AS median_r, ROUND(AVG(confidence), 6) AS mean_confidence FROM chosen""",
-    "unique_a": f"{_EASY} SELECT id FROM fa WHERE id NOT IN (SELECT idx_a FROM chosen)",
-    "unique_b": f"{_EASY} SELECT id FROM fb WHERE id NOT IN (SELECT idx_b FROM chosen)",
-    "matched_wide": f"""{_EASY} SELECT fa.id AS "id_A", fa.mz AS "mz_A", fa.rt AS "rt_A", {", ".join(f'fa.{s} AS "{s}_A"' for s in SAMPLES)},
-      fb.id AS "id_B", ROUND(fb.mz, 9) AS "mz_B", fb.rt AS "rt_B", {", ".join(f'ROUND(fb.{s}, 6) AS "{s}_B"' for s in SAMPLES)},
-      {", ".join(f"ROUND(c.{c}, 6) AS {n}" for c, n in EDGE_METRICS)} FROM chosen c JOIN fa ON fa.id = c.idx_a JOIN fb ON fb.id = c.idx_b""",
-    "diagnostics": f"""{_EASY} SELECT 'n_features_a' AS name, COUNT(*) AS n FROM fa UNION ALL SELECT 'n_features_b', COUNT(*) FROM fb
-      UNION ALL SELECT 'n_matched', COUNT(*) FROM chosen UNION ALL SELECT 'n_candidates_evaluated', COUNT(*) FROM e""",
-}
+def recovery_report(spark, directory):
+    shares = _linked(spark, directory, CROWDED).recovery()
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in shares.items()], "name string, pct double")
+
+
+@query
+def align_triage(spark, directory):
+    """Tiers of a real linkage."""
+    return _linked(spark, directory, CROWDED).triage()["summary"]
+
+
+@query
+def column_roles(spark, directory):
+    """Roles read from the names of another export, blanks, prefixes, an empty and an all-zero column included."""
+    a = feature_tables(spark, directory, CROWDED)[0]
+    names = {"mz": " Precursor Mz", "rt": "Best Retention Time", "rtmin": "Start.RT", "rtmax": "end rt", "id": "Feature ID"} | {s: f"Area_{s}" for s in SAMPLES}
+    df = a.toDF(*[names[c] for c in a.columns]).withColumn("zero", F.lit(0.0)).withColumn("Area_zero", F.lit(0)).withColumn("Height_none", F.lit(None).cast("double"))
+    m = roles.infer_column_map(df)
+    rows = [(r, getattr(m, r)) for r in ("mz", "rt", "mz_min", "mz_max", "rt_min", "rt_max")]
+    rows += [("intensity", c) for c in m.intensity_cols] + [("annotation", c) for c in m.annotation_cols]
+    return spark.createDataFrame(rows, "role string, column_name string")
+
+
+@query
+def csv_source(spark, directory):
+    """A result table written as CSV and read back as a feature table."""
+    r = _linked(spark, directory, CROWDED, NO_TESTS)
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    r.write(folder, "csv")
+    back = read_delimited(spark, f"{folder}/unique_a")
+    return back.select(F.col("id").cast("bigint").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("mz", "rt", *SAMPLES)])
+
+
+SQL = linkage_sql.SQL
 
 QUERIES = {
     name: f

@@ -11,7 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massweave.sources.readers import read_parquet, restore_reader
+from massweave.sources.readers import read_parquet
+
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -37,22 +39,41 @@ def query(build):
 
     @functools.wraps(build)
     def run(spark: SparkSession, directory: str) -> DataFrame:
-        restore_reader(spark)
         ship_package(spark)
         return build(spark, directory)
 
     return run
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Have the session checkpoint into the shared folder that it names."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="massweave-")  # one machine only, as in tests
+    context.setCheckpointDir(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, for tables of passage."""
+    _checkpoint_folder(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only where the
-    session names none (single-machine tests) is a temporary folder set.
+    The folder is the one the session names in ``spark.checkpoint.dir``.  What is written is
+    removed when nothing refers to it any more, unless the session says otherwise.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="massweave-"))
+    _checkpoint_folder(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    if not conf.contains(_CLEAN):
+        conf.set(_CLEAN, "true")
     return df.checkpoint(eager=True)
 
 

@@ -2,44 +2,78 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 _VECTORISED = "spark.sql.parquet.enableVectorizedReader"
 
+#: Encodings that Spark's vectorised reader cannot decode.
+_ROW_READER_ONLY = ("BYTE_STREAM_SPLIT",)
+
+#: Footers looked at side by side.
+_FOOTERS_AT_ONCE = 16
 
-def _has_encoding(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether the first Parquet file under ``path`` has a column chunk in ``encoding``."""
+
+def _parquet_files(spark: SparkSession, path: str) -> list:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(conf)
-    if system.getFileStatus(at).isDirectory():
-        files = [s.getPath() for s in system.listStatus(at) if s.getPath().getName().endswith(".parquet")]
-        if not files:
-            return False
-        at = min(files, key=lambda p: p.getName())
-    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
-    try:
-        blocks = reader.getFooter().getBlocks()
-        return bool(blocks.size()) and any(encoding in c.getEncodings().toString() for c in blocks.get(0).getColumns())
-    finally:
-        reader.close()
+    found = at.getFileSystem(conf).listFiles(at, True)
+    files = []
+    while found.hasNext():
+        file = found.next().getPath()
+        if file.toString() == at.toString() or file.getName().endswith(".parquet"):
+            files.append(file)
+    return files
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read Parquet, also in encodings that only the row-based reader knows.
+def needs_row_reader(spark: SparkSession, path: str) -> bool:
+    """Whether any column chunk of any Parquet file under ``path`` is in an encoding of the row-based reader only.
 
-    Spark's vectorised reader cannot decode ``BYTE_STREAM_SPLIT``; the reader in use is a
-    setting of the session, so it is switched for the session where a table needs it.  The
-    query catalogue switches it back before it builds the next query.
+    Footers alone are read, side by side, until one answers yes.
     """
-    if spark.conf.get(_VECTORISED) == "true" and _has_encoding(spark, path, "BYTE_STREAM_SPLIT"):
-        spark.conf.set(_VECTORISED, "false")
-    return spark.read.parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
+    def one(file) -> bool:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+        try:
+            chunks = [c for block in reader.getFooter().getBlocks() for c in block.getColumns()]
+            return any(e in c.getEncodings().toString() for c in chunks for e in _ROW_READER_ONLY)
+        finally:
+            reader.close()
 
-def restore_reader(spark: SparkSession) -> None:
-    """Go back to the vectorised reader."""
-    spark.conf.set(_VECTORISED, "true")
+    files = _parquet_files(spark, path)
+    if not files:
+        return False
+    if one(files[0]):
+        return True
+    with ThreadPoolExecutor(_FOOTERS_AT_ONCE) as pool:
+        return any(pool.map(one, files[1:]))
+
+
+def read_parquet(spark: SparkSession, path: str, row_reader: bool | None = None) -> DataFrame:
+    """Read Parquet, also in encodings that only the row-based reader knows.
+
+    Which reader a scan uses is a setting of the session that its relation was made in.  A
+    table that needs the row-based one is opened in a session of its own, with the settings
+    of ``spark`` but for this one, and handed over as a view; so neither the setting of
+    ``spark`` nor any other table's reader changes.  ``row_reader`` spares the look at the
+    footers where the answer is known.
+    """
+    if spark.conf.get(_VECTORISED) != "true" or not (needs_row_reader(spark, path) if row_reader is None else row_reader):
+        return spark.read.parquet(path)
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set(_VECTORISED, "false")
+    view = f"massweave_{uuid.uuid4().hex}"
+    own.read.parquet(path).createGlobalTempView(view)
+    try:
+        return spark.table(f"global_temp.{view}")
+    finally:
+        spark.catalog.dropGlobalTempView(view)
 
 
 def read_delimited(

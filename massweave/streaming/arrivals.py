@@ -21,12 +21,9 @@ def scored_arrivals(
 ) -> DataFrame:
     """``(idx_a, idx_b, delta_mz_ppm, delta_rt, intensity_corr, confidence)`` of a stream's rows.
 
-    Both tables need a unique id column: a row's position means nothing in a stream.  The
-    m/z window must be relative, since an absolute one is cut by the widest row seen.
+    Both tables need a unique id column: a row's position means nothing in a stream.
     """
     tol = tol or Tolerances()
-    if tol.mz_da is not None or tol.mz_ppm <= 0:
-        raise ValueError("a stream is joined with a relative m/z window only")
     samples = shared_samples(map_arrivals, map_library)
     keyed = lambda df, key: df.withColumn("_idx", F.col(f"`{key}`").cast("long"))
     a = ingest.slim(keyed(arrivals, id_arrivals), map_arrivals, samples)

@@ -293,7 +293,40 @@ def test_positions_do_not_depend_on_partitions(spark):
     assert sorted(x._idx for x in rows) == list(range(37))
 
 
-def test_queries_report_over_the_whole_assignment(spark, tmp_path, monkeypatch):
+def test_ids_of_any_type_and_of_no_use(spark):
+    a = feature_table(25)
+    a["key"] = [f"f{k}" for k in range(25)]
+    df = spark.createDataFrame(a)
+    r = align(df, df, stat_params=QUICK, id_col_a="key", id_col_b="key")
+    rows = r.matched.collect()
+    assert len(rows) == 25 and all(x["key_A"] == x["key_B"] for x in rows)
+    assert sorted(x._idx for x in ingest.numbered(df, "key").collect()) == list(range(25))
+    for bad in ([(1,), (1,)], [(1,), (None,)]):
+        with pytest.raises(ValueError, match="not unique"):
+            ingest.numbered(spark.createDataFrame(bad, "id bigint"), "id")
+
+
+def test_pandas_frames_are_taken(spark):
+    a = feature_table(25)
+    a["adduct"], a["note"] = None, [None] * 24 + ["x"]
+    r = align(a, perturbed(a).set_index("pcgroup", drop=False), tol=Tolerances(mz_ppm=15), stat_params=QUICK)
+    plain = align(spark.createDataFrame(feature_table(25)), spark.createDataFrame(perturbed(feature_table(25))), tol=Tolerances(mz_ppm=15), stat_params=QUICK)
+    assert r.diagnostics == plain.diagnostics and r.diagnostics["n_matched"] >= 20
+    assert "adduct_A" in r.matched.columns and r.matched.where("adduct_A IS NOT NULL").isEmpty()
+    assert ingest.as_frame(a.iloc[:0]).count() == 0
+
+
+def test_a_huge_mass_does_not_widen_the_cells_of_others(spark):
+    row = lambda k, mz: (k, mz, 10.0)
+    frame = spark.createDataFrame([row(k, 100.0 + 3 * k) for k in range(50)] + [row(99, 1e9)], "idx bigint, mz double, rt double")
+    tol = Tolerances(mz_ppm=5, mz_da=0.4)
+    pairs = band_join.candidate_pairs(frame, frame, tol)
+    assert sorted((x.idx_a, x.idx_b) for x in pairs.collect()) == [(k, k) for k in [*range(50), 99]]
+    cells = frame.select(F.floor(band_join._mz_place(F.col("mz"), tol)).alias("c")).distinct().count()
+    assert cells == 51
+
+
+def test_contested_groups_equal_brute_force(spark, tmp_path):
     r = random.Random(4)
     # Groups of parts at one position with alike profiles contest each other; the last part of each hundred stands alone.
     keys = [100 * g + k for g in range(1, 9) for k in (*range(2, 6), 50)]
@@ -301,19 +334,13 @@ def test_queries_report_over_the_whole_assignment(spark, tmp_path, monkeypatch):
     line = [(k, s, (s + 1) * 1000.0 * r.uniform(0.8, 1.2)) for k in keys for s in range(6)]
     spark.createDataFrame(part, "p_partkey bigint, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame(line, "l_partkey bigint, l_suppkey bigint, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    query = lambda name: linkage.QUERIES[name](spark, str(tmp_path)).collect()
     edges = {(e.idx_a, e.idx_b): e.confidence for e in linkage._edges(spark, str(tmp_path)).collect()}
-    chosen = linkage._chosen(spark, str(tmp_path))
-    monkeypatch.setattr(linkage, "_chosen", lambda *_: chosen)  # one assignment for all queries
     groups = [{p: c for p, c in edges.items() if p[0] // 100 == g} for g in range(1, 9)]
     assert max(len(g) for g in groups) > 8
-    matched = [(m.id_A, m.id_B) for m in query("matched_wide")]
-    assert len({a for a, _ in matched}) == len(matched) == len({b for _, b in matched})
+    r = linkage._linked(spark, str(tmp_path), linkage.PLAIN, QUICK)
+    matched = [(m.id_A, m.id_B) for m in r.matched.collect()]
+    assert len({a for a, _ in matched}) == len(matched) == len({b for _, b in matched}) == r.diagnostics["n_matched"]
     assert sum(edges[p] for p in matched) == pytest.approx(sum(heaviest(g) for g in groups))
-    for side, name in enumerate(("unique_a", "unique_b")):
+    for side, rest in enumerate((r.unique_a, r.unique_b)):
         have = {t.id for t in linkage.feature_tables(spark, str(tmp_path))[side].collect()}
-        assert {x.id for x in query(name)} == have - {p[side] for p in matched}
-    assert {(x.idx_a, x.idx_b) for x in query("specificity")} == set(matched)
-    assert query("match_summary")[0].n_matched == {x.name: x.n for x in query("diagnostics")}["n_matched"] == len(matched)
-    for name in ("perm_pvalue_small", "bootstrap_ci_small"):
-        assert {(x.idx_a, x.idx_b) for x in query(name)} == set(matched)
+        assert {x.id for x in rest.collect()} == have - {p[side] for p in matched}

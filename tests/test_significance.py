@@ -110,3 +110,17 @@ def test_tiers(spark):
     assert [(r.n, r.pct, r.median_r) for r in empty] == [(0, 0.0, None)] * 4
     with pytest.raises(ValueError, match="not found"):
         results.MatchResult(df.drop("_ci_width"), df, df).triage()
+
+
+def test_many_pvalues_are_ranked_in_ranges(spark):
+    r = np.random.default_rng(11)
+    p = [None if r.random() < 0.1 else float(v) for v in np.round(r.beta(0.3, 2, 3000), 4)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(p)], "k int, p double")
+    few, many = (sorted((x.k, x.q) for x in S.bh_qvalues(df, "p", "q", most).collect()) for most in (100_000, 50))
+    assert [k for k, _ in few] == [k for k, _ in many]
+    assert all((a is None and b is None) or a == pytest.approx(b, abs=1e-15) for (_, a), (_, b) in zip(few, many))
+    known = np.sort([v for v in p if v is not None])
+    rank = {v: k + 1 for k, v in enumerate(known)}
+    want = {v: min(1.0, min(w * len(known) / rank[w] for w in rank if w >= v)) for v in list(rank)[::97]}
+    got = {p[k]: q for k, q in many if q is not None}
+    assert all(got[v] == pytest.approx(q, abs=1e-12) for v, q in want.items())

@@ -1,7 +1,5 @@
 """Arriving features against a library."""
 
-import pytest
-
 from massweave import ColumnMap, Tolerances
 from massweave.streaming.arrivals import scored_arrivals, write_arrivals
 
@@ -20,5 +18,7 @@ def test_stream_gives_the_pairs_of_the_batch(spark, tmp_path):
     got = sorted((r.idx_a, r.idx_b, round(r.confidence, 9)) for r in spark.read.parquet(out).collect())
     batch = scored_arrivals(spark.createDataFrame(rows, KIND), library, MAP, MAP, "id", "id")
     assert got == sorted((r.idx_a, r.idx_b, round(r.confidence, 9)) for r in batch.collect()) and len(got) > 5
-    with pytest.raises(ValueError):
-        scored_arrivals(library, library, MAP, MAP, "id", "id", Tolerances(mz_da=0.1))
+    wide = Tolerances(mz_ppm=1, mz_da=1.0, rt_seconds=60)
+    plain = spark.createDataFrame(rows, KIND)
+    near = scored_arrivals(plain, library, MAP, MAP, "id", "id", wide).count()
+    assert 0 < near <= sum(abs(a[1] - 100.0 - k) <= max(1.0, a[1] * 1e-6) and abs(a[2] - 50.0 * k) <= 60 for a in rows for k in range(30))
