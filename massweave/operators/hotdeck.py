@@ -1,13 +1,22 @@
 """Filling missing values from similar records of the same group: nearest-neighbour hot deck.
 
 A missing intensity is copied from donors: records of the same study that hold a real value
-in the field.  Records are hash-blocked on their observed mixed features (study, ionisation
-mode, and the log levels of two companion samples, cut into steps); inside a block they lie
-sorted by their level, and the closest donors are looked for among the donors next to a record
-on both sides, however many records without a value lie between; so no pairs are formed and a
-crowded study falls apart into many blocks; a study of very many records is first dealt out at random to several such sets.  The value is the median of the donors weighted by closeness.  What a block cannot
-fill falls back to ever wider blocks, at last to the study's own weighted quantile.  A missing
-mode is the majority of the same study and group of peaks, then of the study.
+in the field.  Records are hash-blocked on their observed mixed features: study and field, and
+inside them ionisation mode and the rounded level of another group's sample.  The distance of
+two records is the difference of their log levels in a companion sample, plus ``OTHER_BLOCK``
+if mode or rounded level differ; the closest donors are found exactly, without forming pairs:
+
+1. of donors at one level only the first few by identity can be among the closest, and all
+   records asking at one level get the same donors, so both are reduced to a few rows for each
+   level, before they are shuffled;
+2. levels are cut into narrow cells; inside a cell the donors next to a level are looked up
+   in the order of levels; the few last donors of the cells before and the few first of the
+   cells after are carried over, so no border hides a donor;
+3. the donors found in the own block and in the whole study are merged by distance.
+
+The value is the median of the donors weighted by closeness.  A record without a level, or
+without a donor within ``FARTHEST``, gets the study's own median.  A missing mode is the
+majority of the same study and group of peaks, then of the study.
 
 What is missing
   * an intensity that is NULL, NaN, infinite, zero or negative, or a stand-in: a value that a
@@ -19,7 +28,7 @@ What is missing
 Defined results
   * repeated deliveries of a record count once, the one loaded last;
   * rows without an identity are left out, a NULL study is a study of its own;
-  * equally close donors are ordered by identity;
+  * equally close donors are ordered by identity, equally distant ones of the own block and others too;
   * a value for which no donor exists anywhere stays NULL, still marked as missing;
   * an empty table gives an empty result, extra columns are ignored.
 """
@@ -33,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.operators.intervals import latest_rows
-from massweave.plans.runtime import cut_lineage
+from massweave.plans.runtime import cut_lineage, split_hot
 
 #: Spellings of the two ionisation modes, in lower case.
 POSITIVE = ("positive", "pos", "p", "+", "+ve", "pos.", "esi+", "positiv")
@@ -46,13 +55,21 @@ OVER_CHANCE = 20.0
 #: Smallest difference between two written intensities.
 RESOLUTION = 1e-4
 
-#: Records of a study that share its blocks; a larger study is dealt out at random to several sets of blocks.
-STUDY_ROWS = 1_000_000
-
 #: Donors copied from.
 DONORS = 5
 
-DONOR_LIST = "array<struct<feature_id:bigint,level:double,value:double>>"
+#: Added to the distance of a donor of another mode or another rounded level.
+OTHER_BLOCK = 0.125
+
+#: Largest difference of log levels of a donor.
+FARTHEST = 1.0
+
+#: Cells to one unit of log level.
+CELLS = 64
+
+DONOR_LIST = "array<struct<level:double,feature_id:bigint,value:double>>"
+
+_BLOCK = ["_study", "field", "_depth", "_mode", "_side"]
 
 
 @dataclass(frozen=True)
@@ -127,50 +144,54 @@ def _weighted_median(near: Column) -> Column:
     )
 
 
-def _blocks(depth: int) -> list[str]:
-    """Columns of a block, widest at depth 2."""
-    return ["study", "_part", "field", *[["_mode", "_step", "_side"], ["_step"], ["_wide"]][depth]]
-
+def _nearest(entries: DataFrame) -> DataFrame:
+    """``(*_BLOCK, level, _near)``: up to ``DONORS`` closest donors of a block for every level asked.
 
-def _pass(cells: DataFrame, depth: int) -> DataFrame:
-    """Look for donors in the blocks of one depth."""
-    keys = _blocks(depth)
-    inside = lambda *order: W.partitionBy(*keys).orderBy(*order)
-    # Of donors at one level only the first few by identity can be among the closest.
-    nth = F.row_number().over(inside("_spare", "level", "feature_id")) - F.rank().over(inside("_spare", "level"))
+    ``entries`` are donors (``value`` not NULL) and records that ask, each in its blocks.
+    """
+    level, cell = [*_BLOCK, "level"], [*_BLOCK, "_cell"]
+    # Few rows of a level survive, on the near side of the shuffle already.
+    few = F.row_number().over(W.partitionBy(*level, "_asks").orderBy("feature_id"))
+    rows = entries.withColumn("_k", few).where(F.col("_k") <= DONORS).where(~F.col("_asks") | (F.col("_k") == 1)).drop("_k")
+    rows = rows.withColumn("_cell", F.floor(F.col("level") * CELLS))
+    donor = F.when(~F.col("_asks"), F.struct("level", "feature_id", "value"))
+    # Donors come first in this order, so records that ask take up no places.
+    donors_first = W.partitionBy(*cell).orderBy("_asks", "level", "feature_id")
+    by_level = W.partitionBy(*cell).orderBy("level", F.col("_asks"), "feature_id")
     # The closest lie on at most so many places on a side: all but one of them, and the donors at the level of the last.
     reach = 2 * DONORS - 1
-    donor = F.when(~F.col("_spare"), F.struct("feature_id", "level", "value"))
-    # Donors come first in this order, so records without a value take up no places.
-    around = F.collect_list(donor).over(inside("_spare", "level", "feature_id").rowsBetween(1 - reach, reach))
-    own = F.when(~F.col("_spare"), F.col("_around"))
-    before = F.last(own, ignorenulls=True).over(inside("level", "feature_id").rowsBetween(W.unboundedPreceding, -1))
-    first = F.min_by("_around", F.when(~F.col("_spare"), F.struct("level", "feature_id"))).over(W.partitionBy(*keys))
-    gap = lambda d: F.abs(d["level"] - F.col("level"))
-    ranked = F.array_sort(
-        F.transform(
-            "_found",
-            lambda d: F.struct(gap(d).alias("gap"), d["feature_id"].alias("feature_id"), d["value"].alias("value")),
-        )
+    around = F.collect_list(donor).over(donors_first.rowsBetween(1 - reach, reach))
+    marked = (
+        rows.withColumn("_around", F.when(~F.col("_asks"), around))
+        .withColumn("_place", F.row_number().over(donors_first))
+        .withColumn("_donors", F.count(donor).over(W.partitionBy(*cell)))
+        .withColumn("_before", F.last("_around", ignorenulls=True).over(by_level.rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("_first", F.max(F.when((F.col("_place") == 1) & ~F.col("_asks"), F.col("_around"))).over(W.partitionBy(*cell)))
     )
+    # One row for each cell that has donors; the neighbours' donors are among those of as many such cells.
+    edge = lambda near: F.collect_list(F.when(near, donor))
+    edges = marked.groupBy(*cell).agg(
+        edge(F.col("_place") <= DONORS).alias("_firsts"), edge((F.col("_place") > F.col("_donors") - DONORS) & (F.col("_place") <= F.col("_donors"))).alias("_lasts")
+    )
+    order = W.partitionBy(*_BLOCK).orderBy("_cell")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    # Cells without donors hold nothing to carry but need what is carried, so distances count donor cells only.
+    edges = edges.withColumn("_n", F.sum((F.size("_lasts") > 0).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    by_count = W.partitionBy(*_BLOCK).orderBy("_n")
+    carried = edges.select(
+        *cell,
+        # A cell with donors has the number _n itself, one without shares the number of the last one before.
+        F.flatten(F.collect_list(some("_lasts")).over(by_count.rangeBetween(-DONORS, 0))).alias("_left"),
+        F.flatten(F.collect_list(some("_firsts")).over(by_count.rangeBetween(0, DONORS))).alias("_right"),
+    )
+    gap = lambda d: F.abs(d["level"] - F.col("level"))
+    found = F.array_distinct(F.concat(F.coalesce("_before", "_first", F.array().cast(DONOR_LIST)), "_left", "_right"))
+    ranked = F.array_sort(F.transform(F.filter("_found", lambda d: gap(d) <= FARTHEST), lambda d: F.struct(gap(d).alias("gap"), d["feature_id"].alias("feature_id"), d["value"].alias("value"))))
     return (
-        cells.withColumn("_spare", F.col("value").isNull() | F.col("level").isNull())
-        .withColumn("_nth", nth)
-        .withColumn("_spare", F.col("_spare") | (F.col("_nth") >= DONORS))
-        .withColumn("_around", around)
-        .withColumn("_before", before)
-        .withColumn("_first", first)
-        .where("value IS NULL AND wanted")
-        .withColumn("_found", F.coalesce("_before", "_first", F.array().cast(DONOR_LIST)))
-        .withColumn("_near", F.slice(ranked, 1, DONORS))
-        .withColumn(
-            "filled",
-            _weighted_median(
-                F.transform("_near", lambda d: F.struct(d["value"].alias("value"), (1 / (d["gap"] + F.lit(0.01))).alias("weight")))
-            ),
-        )
-        .withColumn("donors", F.transform("_near", lambda d: d["feature_id"]))
-        .drop("_spare", "_nth", "_around", "_before", "_first", "_found", "_near")
+        marked.where("_asks")
+        .join(carried, cell)
+        .withColumn("_found", found)
+        .select(*level, F.slice(ranked, 1, DONORS).alias("_near"))
     )
 
 
@@ -193,15 +214,15 @@ def prepare(rows: DataFrame, fields: list[Field], study: str = "study", polarity
     )
 
 
-def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity", study_rows: int = STUDY_ROWS) -> DataFrame:
+def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity") -> DataFrame:
     """``(feature_id, field, filled_number, filled_text, depth, donors)`` of every missing field.
 
-    ``depth`` is 0 to 2 for the width of the block, 3 for the study's own median, NULL where
-    nothing could be filled.
+    ``depth`` is 0 if all donors are of the own block, 1 if all are of the study and about as
+    close, 2 if some are farther, 3 for the study's own median, NULL where nothing could be
+    filled.
     """
     ready = cut_lineage(prepare(rows, fields, polarity=polarity))
     absent = ready.groupBy("study").agg(
-        (F.floor(F.count(F.lit(1)) / study_rows) + 1).alias("_parts"),
         *[F.max(F.coalesce(*[F.col(c) for c in f.group]).isNotNull()).alias(f"_has_{f.name}") for f in fields],
         *[F.percentile_approx(f.name, 0.5).alias(f"_median_{f.name}") for f in fields],
     )
@@ -217,31 +238,54 @@ def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity", study
                 F.col(f"_has_{f.name}").alias("wanted"),
                 F.col(f"_median_{f.name}").alias("median"),
                 level.alias("level"),
-                F.floor(level * 8).alias("_step"),
-                F.floor(level).alias("_wide"),
-                F.floor(side).alias("_side"),
+                F.coalesce(F.floor(side), F.lit(-1000)).alias("_side"),
             )
         )
-    part = F.pmod(F.xxhash64("feature_id"), F.col("_parts")).alias("_part")
-    cells = joined.select("feature_id", "study", part, "_mode", F.explode(F.array(*sides)).alias("_c")).select(
-        "feature_id", "study", "_part", "_mode", "_c.*"
-    )
+    # No key is NULL: a study without a name has a mark of its own.
+    study = F.coalesce(F.concat(F.lit("="), F.col("study").cast("string")), F.lit("")).alias("_study")
+    cells = joined.select("feature_id", study, F.coalesce("_mode", F.lit("")).alias("_mode"), F.explode(F.array(*sides)).alias("_c")).select("feature_id", "_study", "_mode", "_c.*")
     cells = cut_lineage(cells.where("value IS NOT NULL OR wanted"))
-    out, open_ = None, None
-    for depth in range(3):
-        todo = cells if open_ is None else cells.where("value IS NOT NULL").unionByName(open_)
-        found = _pass(todo, depth)
-        done = found.where("filled IS NOT NULL").withColumn("depth", F.lit(depth))
-        if depth < 2:
-            found = cut_lineage(found)
-            done = found.where("filled IS NOT NULL").withColumn("depth", F.lit(depth))
-            open_ = found.where("filled IS NULL").drop("filled", "donors")
-        else:
-            done = found.withColumn("depth", F.when(F.col("filled").isNotNull(), depth).when(F.col("median").isNotNull(), 3)).withColumn(
-                "filled", F.coalesce("filled", "median")
-            )
-        out = done if out is None else out.unionByName(done)
-    numbers = out.select("feature_id", "field", F.col("filled").alias("filled_number"), F.lit(None).cast("string").alias("filled_text"), "depth", "donors")
+    # Every record stands in its own block (depth 0) and in its study (depth 1).
+    block = lambda depth, mode, side: F.struct(F.lit(depth).alias("_depth"), mode.alias("_mode"), side.alias("_side"))
+    both = F.explode(F.array(block(0, F.col("_mode"), F.col("_side")), block(1, F.lit(""), F.lit(-1000).cast("bigint")))).alias("_b")
+    placed = cells.where("level IS NOT NULL").select("feature_id", "_study", "field", "level", "value", F.col("value").isNull().alias("_asks"), both)
+    placed = placed.select("feature_id", "_study", "field", "level", "value", "_asks", "_b.*")
+    near = _nearest(placed)
+    asking = placed.where("_asks").select("feature_id", *_BLOCK, "level")
+    asking, near = split_hot(asking, near, [*_BLOCK, "level"], "feature_id")
+    # Two short lists for each record.
+    lists = asking.join(near, [*_BLOCK, "level", "_salt"]).groupBy("feature_id", "field").agg(
+        F.max(F.when(F.col("_depth") == 0, F.col("_near"))).alias("_own"), F.max(F.when(F.col("_depth") == 1, F.col("_near"))).alias("_all")
+    )
+    none = F.array().cast("array<struct<gap:double,feature_id:bigint,value:double>>")
+    entry = lambda d, own: F.struct((d["gap"] + (0.0 if own else OTHER_BLOCK)).alias("distance"), d["feature_id"].alias("feature_id"), d["value"].alias("value"), F.lit(own).alias("own"))
+    others = F.filter("_all", lambda d: ~F.array_contains(F.transform("_own", lambda o: o["feature_id"]), d["feature_id"]))
+    merged = (
+        lists.withColumn("_own", F.coalesce("_own", none))
+        .withColumn("_all", F.coalesce("_all", none))
+        .withColumn("_near", F.concat(F.transform("_own", lambda d: entry(d, True)), F.transform(others, lambda d: entry(d, False))))
+        .withColumn("_near", F.slice(F.array_sort("_near"), 1, DONORS))
+        .select(
+            "feature_id",
+            "field",
+            _weighted_median(F.transform("_near", lambda d: F.struct(d["value"].alias("value"), (1 / (d["distance"] + F.lit(0.01))).alias("weight")))).alias("filled"),
+            F.when(F.forall("_near", lambda d: d["own"]), 0).when(F.forall("_near", lambda d: d["distance"] <= 2 * OTHER_BLOCK), 1).otherwise(2).alias("depth"),
+            F.transform("_near", lambda d: d["feature_id"]).alias("donors"),
+        )
+    )
+    numbers = (
+        cells.where("value IS NULL")
+        .select("feature_id", "field", "median")
+        .join(merged, ["feature_id", "field"], "left")
+        .select(
+            "feature_id",
+            "field",
+            F.coalesce("filled", "median").alias("filled_number"),
+            F.lit(None).cast("string").alias("filled_text"),
+            F.when(F.col("filled").isNotNull(), F.col("depth")).when(F.col("median").isNotNull(), 3).alias("depth"),
+            F.coalesce("donors", F.array().cast("array<bigint>")).alias("donors"),
+        )
+    )
     return numbers.unionByName(_fill_mode(ready, polarity))
 
 

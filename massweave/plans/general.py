@@ -99,21 +99,46 @@ _REACH = f"""WITH latest AS ({_LATEST_SEGMENTS}), sides AS ({_SIDES}),
 starts AS (SELECT trace_id, axis, s, MAX(e) AS e FROM sides GROUP BY trace_id, axis, s),
 marked AS (SELECT *, MAX(e) OVER (PARTITION BY trace_id, axis ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM starts)"""
 
-_SAMPLES = [f"{g}_{k}" for g in ("BS4", "LL", "Mix") for k in (1, 2, 3)]
 _REAL = lambda c: f"CASE WHEN {c} > 0 AND isfinite({c}) THEN {c} END"
 
-_MISSING = f"""WITH latest AS (
+_STEP = "CAST(FLOOR(LN(v) / 0.05) AS BIGINT)"
+_FIELDS = [hotdeck.sample_field(f) for f in FILLED_FIELDS]
+_ALL_SAMPLES = sorted({c for f in _FIELDS for c in (*f.group, *f.companions)})
+
+_MISSING = f"""WITH RECURSIVE latest AS (
     SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY feature_id ORDER BY loaded_at DESC) AS k FROM features_a) WHERE k = 1),
-  real AS (SELECT feature_id, study, polarity, {", ".join(f"{_REAL(c)} AS {c}" for c in _SAMPLES)} FROM latest),
-  counted AS (SELECT study, v, COUNT(*) AS n FROM (
+  real AS (SELECT feature_id, study, pcgroup, CASE WHEN lower(trim(polarity)) IN ({", ".join(repr(x) for x in hotdeck.POSITIVE)}) THEN 'positive'
+    WHEN lower(trim(polarity)) IN ({", ".join(repr(x) for x in hotdeck.NEGATIVE)}) THEN 'negative' END AS ion, {", ".join(f"{_REAL(c)} AS {c}" for c in _ALL_SAMPLES)} FROM latest),
+  counted AS (SELECT study, v, COUNT(*) AS n, {_STEP} AS cell FROM (
     {" UNION ALL ".join(f"SELECT study, {f} AS v FROM real WHERE {f} IS NOT NULL" for f in FILLED_FIELDS)}) GROUP BY study, v),
-  often AS (SELECT study, v FROM counted WHERE n >= {hotdeck.LEAST_REPEATS}),
-  kept AS (SELECT feature_id, study, {", ".join(
-      f"CASE WHEN NOT EXISTS (SELECT 1 FROM often o WHERE o.study = r.study AND o.v = r.{f}) THEN {f} END AS {f}" for f in FILLED_FIELDS)},
-    {", ".join(f"{g}_{k}" for g in ("BS4", "LL", "Mix") for k in (2, 3))} FROM real r),
+  around AS (SELECT *, SUM(n) OVER (PARTITION BY study, cell) AS everything FROM counted),
+  often AS (SELECT study, v FROM around WHERE n >= {hotdeck.LEAST_REPEATS} AND n > {hotdeck.OVER_CHANCE} * (everything - n) * {hotdeck.RESOLUTION} / (EXP(cell * 0.05) * 0.05)),
+  kept AS (SELECT feature_id, study, ion, {", ".join(
+      f"CASE WHEN NOT EXISTS (SELECT 1 FROM often o WHERE o.study IS NOT DISTINCT FROM r.study AND o.v = r.{f}) THEN {f} END AS {f}" for f in FILLED_FIELDS)},
+    {", ".join(c for c in _ALL_SAMPLES if c not in FILLED_FIELDS)} FROM real r),
   has AS (SELECT study, {", ".join(
-      f"COUNT({g}_1) + COUNT({g}_2) + COUNT({g}_3) > 0 AS has_{g}_1" for g in ("BS4", "LL", "Mix"))} FROM kept GROUP BY study)"""
+      f"COUNT({g}_1) + COUNT({g}_2) + COUNT({g}_3) > 0 AS has_{g}_1, QUANTILE_DISC({g}_1, 0.5) AS median_{g}_1" for g in ("BS4", "LL", "Mix"))} FROM kept GROUP BY study)"""
+
+_LONG = " UNION ALL ".join(
+    f"""SELECT feature_id, k.study, '{f.name}' AS field, k.{f.name} AS v, COALESCE(ion, '') AS ion, LN(COALESCE({", ".join(f.companions)})) AS level,
+      FLOOR(LN(COALESCE({", ".join(f.companions[2:])}))) AS side, median_{f.name} AS median FROM kept k JOIN has h ON h.study IS NOT DISTINCT FROM k.study WHERE k.{f.name} IS NOT NULL OR has_{f.name}"""
+    for f in _FIELDS
+)
 
+_FILLED = f"""{_MISSING}, long AS MATERIALIZED ({_LONG}),
+  near AS (SELECT a.feature_id, a.field, d.feature_id AS donor, d.v, a.ion = d.ion AND a.side IS NOT DISTINCT FROM d.side AS own, ABS(d.level - a.level) AS gap
+    FROM long a JOIN long d ON d.field = a.field AND d.study IS NOT DISTINCT FROM a.study AND ABS(d.level - a.level) <= {hotdeck.FARTHEST} WHERE a.v IS NULL AND d.v IS NOT NULL),
+  far AS (SELECT *, CASE WHEN own THEN gap ELSE gap + {hotdeck.OTHER_BLOCK} END AS distance FROM near),
+  placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY feature_id, field ORDER BY distance, donor) AS place FROM far),
+  five AS (SELECT *, SUM(1 / (distance + 0.01)) OVER (PARTITION BY feature_id, field ORDER BY v, 1 / (distance + 0.01) ROWS UNBOUNDED PRECEDING) AS upto,
+    SUM(1 / (distance + 0.01)) OVER (PARTITION BY feature_id, field) AS total FROM placed WHERE place <= {hotdeck.DONORS}),
+  values_ AS (SELECT feature_id, field, MIN(v) FILTER (WHERE upto >= total / 2) AS v, LIST(donor ORDER BY place) AS donors,
+    CASE WHEN BOOL_AND(own) THEN 0 WHEN MAX(distance) <= {2 * hotdeck.OTHER_BLOCK} THEN 1 ELSE 2 END AS depth FROM five GROUP BY feature_id, field),
+  votes AS (SELECT study, pcgroup, ion, COUNT(*) AS n, MIN(feature_id) AS one FROM real WHERE ion IS NOT NULL GROUP BY ALL),
+  by_group AS (SELECT study, pcgroup, ion, one FROM votes QUALIFY ROW_NUMBER() OVER (PARTITION BY study, pcgroup ORDER BY n DESC, one, ion DESC) = 1),
+  by_study AS (SELECT study, ion, one FROM (SELECT study, ion, SUM(n) AS n, MIN(one) AS one FROM votes GROUP BY ALL) QUALIFY ROW_NUMBER() OVER (PARTITION BY study ORDER BY n DESC, one, ion DESC) = 1),
+  modes AS (SELECT r.feature_id, g.ion AS gi, s.ion AS si, g.one AS go, s.one AS so FROM real r LEFT JOIN by_group g ON g.study IS NOT DISTINCT FROM r.study AND g.pcgroup = r.pcgroup
+    LEFT JOIN by_study s ON s.study IS NOT DISTINCT FROM r.study WHERE r.ion IS NULL)"""
 
 
 def _role_sql(name: str) -> str:
@@ -152,13 +177,16 @@ SQL = {
       OVER (PARTITION BY trace_id, axis ORDER BY s ROWS UNBOUNDED PRECEDING) AS n FROM marked)
     SELECT trace_id, axis, CAST(n AS BIGINT) AS period_no, MIN(s) AS period_from, MAX(e) AS period_to, COUNT(*) AS n_starts
     FROM numbered GROUP BY trace_id, axis, n""",
-    # At the sizes compared, no value comes near the number of repeats by chance.
     "p3_found": _MISSING
     + " UNION ALL ".join(
-        f" SELECT feature_id, '{f}' AS field FROM kept JOIN has ON kept.study = has.study WHERE {f} IS NULL AND has_{f}" for f in FILLED_FIELDS
+        f" SELECT feature_id, '{f}' AS field FROM kept JOIN has ON kept.study IS NOT DISTINCT FROM has.study WHERE {f} IS NULL AND has_{f}" for f in FILLED_FIELDS
     )
-    + f""" UNION ALL SELECT feature_id, 'polarity' AS field FROM real
-      WHERE lower(trim(polarity)) NOT IN ({", ".join(repr(x) for x in hotdeck.POSITIVE + hotdeck.NEGATIVE)}) OR polarity IS NULL""",
+    + " UNION ALL SELECT feature_id, 'polarity' AS field FROM real WHERE ion IS NULL",
+    "p3_filled": f"""{_FILLED} SELECT a.feature_id, a.field, COALESCE(x.v, a.median) AS filled_number, CAST(NULL AS VARCHAR) AS filled_text,
+      CASE WHEN x.v IS NOT NULL THEN depth WHEN a.median IS NOT NULL THEN 3 END AS depth, COALESCE(donors, []) AS donors
+      FROM long a LEFT JOIN values_ x USING (feature_id, field) WHERE a.v IS NULL
+      UNION ALL SELECT feature_id, 'polarity', NULL, COALESCE(gi, si), CASE WHEN gi IS NOT NULL THEN 0 WHEN si IS NOT NULL THEN 3 END,
+        CASE WHEN COALESCE(go, so) IS NULL THEN [] ELSE [COALESCE(go, so)] END FROM modes""",
 }
 
 QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_seconds": p4_seconds, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions}

@@ -87,6 +87,33 @@ def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, most_rows) else df
 
 
+#: Rows of one key that a join leaves in one task; keys with more are split.
+HOT_ROWS = 200_000
+
+#: Largest table of hot keys that is sent to all executors.
+MOST_HOT_KEYS = 100_000
+
+
+def split_hot(many: DataFrame, one: DataFrame, keys: list[str], identity: str, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` with a further key ``_salt``, which splits keys that hold very many rows of ``many``.
+
+    Keys are never NULL.  Rows of ``many`` are dealt out by ``identity``, rows of ``one`` are
+    repeated for each part; a key of few rows has one part, so nothing is repeated for it.
+    """
+    hot_rows = hot_rows or HOT_ROWS
+    hot = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = cut_lineage(hot.select(*keys, F.ceil(F.col("_rows") / hot_rows).alias("_parts")))
+    if hot.isEmpty():
+        return many.withColumn("_salt", F.lit(0)), one.withColumn("_salt", F.lit(0))
+    hot = broadcast_if_small(hot, MOST_HOT_KEYS)
+    parts = F.coalesce("_parts", F.lit(1))
+    salt = F.pmod(F.xxhash64(identity), parts).cast("int")
+    return (
+        many.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts"),
+        one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int")))).drop("_parts"),
+    )
+
+
 def computed_once(df: DataFrame) -> DataFrame:
     """Keep the optimiser from inlining the columns of ``df`` into later filters.
 
