@@ -1,14 +1,18 @@
 """Quantities recorded in different units and notations: bring times to seconds.
 
-The physical identity used is ``recorded value x unit factor = retention time of the
-standard``: every record belongs to an internal standard known by its m/z (and by its
-name), whose nominal time in seconds is known to a few percent.  For each field all
-readings of the written number (decimal comma or thousands mark) are combined with all
-units, and the combination with the smallest log residual against the nominal time wins,
-whatever a label says.  Two combinations that give the same number of seconds (``880,463``
-is 880.463 s or 880 463 ms) are flagged as not unique and settled by the unit written
-beside the number, then by the unit most of the other fields of the file use, then in
-favour of the thousands mark.
+Two physical identities are used.  ``recorded value x unit factor = retention time of the
+standard``: every record belongs to an internal standard known by its m/z (and by its name),
+whose nominal time in seconds is known to a few percent.  And among the columns of a record
+``rtmin <= rt <= rtmax``.  All readings of the written numbers (decimal comma or thousands
+mark) are combined with all units, and the combination of the three columns with the smallest
+sum of log residuals wins, whatever labels say: that of rt against the nominal time, those of
+the bounds against rt, with ``WRONG_ORDER`` added for a bound on the wrong side.  Bounds do
+not depend on each other once rt is fixed, so the sum is minimised over each on its own for
+every reading of rt, which is exact.  A record without rt has its bounds judged against the
+nominal time.  Combinations that come within ``SAME_SECONDS`` of the best (``880,463`` is
+880.463 s or 880 463 ms) are flagged as not unique and settled by the unit written beside the
+number, then by the unit most other fields of the file use, then in favour of the thousands
+mark.
 
 Notations that mix units (``3:09.4``, ``PT3M9.4S``, ``3 min 9.4 s``) are parsed as such.
 
@@ -17,7 +21,8 @@ Defined results
     NULL unit and no case;
   * negative and zero times are unreadable;
   * without a standard within the m/z window the standard's name counts, without either
-    the geometric middle of all nominal times;
+    the geometric middle of all nominal times; without any standards plain numbers are taken
+    as seconds, flagged as not unique;
   * repeated rows of a record count once, the smallest content wins;
   * an empty table gives an empty result, extra columns are ignored.
 """
@@ -29,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massweave.plans.runtime import broadcast_if_small, computed_once
+from massweave.plans.runtime import broadcast_if_small, computed_once, cut_lineage, split_hot
 
 #: Seconds in a unit.
 UNIT_SECONDS = {"s": 1.0, "min": 60.0, "h": 3600.0, "ms": 0.001}
@@ -48,16 +53,30 @@ MOST_STANDARDS = 20_000
 #: A second combination this close (natural log) to the best one makes it not unique.
 SAME_SECONDS = 1e-3
 
+#: Added to the residual of a bound on the wrong side of rt.
+WRONG_ORDER = 0.05
+
 #: White space of any kind, no-break and thin spaces included.
 BLANKS = r"[\s\u00A0\u2000-\u200B\u202F\u205F\u3000\uFEFF]+"
 
 #: A number that is read with a decimal comma and with a thousands mark.
 TWO_READINGS = r"^[1-9]\d{0,2},\d{3}$"
 
+#: Numbers that can be read in one way only, without any unit.
+_PLAIN = r"^\d+\.?\d*$"
+
+#: Seconds alone in the ISO notation.
+_ISO_SECONDS = r"^pt(\d+(?:[.,]\d+)?)s$"
+
 _ISO = r"^pt(?:(\d+)h)?(?:(\d+)m)?(?:(\d+(?:[.,]\d+)?)s)?$"
 _CLOCK = r"^(?:(\d+):)?(\d+):(\d+(?:[.,]\d+)?)$"
 _WORDS = r"^(?:(\d+) ?h(?:ours?|rs?)? ?)?(?:(\d+) ?min(?:s|utes?)?\.? ?)?(\d+(?:[.,]\d+)?) ?s(?:ec|econds?)?\.?$"
-_NUMBER = r"^([+]?[0-9][0-9.,]*(?:e[+-]?[0-9]+)?) ?([a-z]+)?\.?$"
+
+#: Notations that mix units, their hours, minutes and seconds in groups.
+MIXED_NOTATIONS = (_ISO, _CLOCK, _WORDS)
+
+#: A number, and a word for its unit.
+WRITTEN_NUMBER = r"^([+]?[0-9][0-9.,]*(?:e[+-]?[0-9]+)?) ?([a-z]+)?\.?$"
 
 
 def _decimal(text: Column) -> Column:
@@ -71,13 +90,13 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 
 def clean_text(raw: Column) -> Column:
     """Lower case, every kind of blank as one plain blank, no blanks at the ends."""
-    return F.trim(F.lower(F.regexp_replace(raw.cast("string"), r"[\s  -​  　﻿]+", " ")))
+    return F.trim(F.lower(F.regexp_replace(raw.cast("string"), BLANKS, " ")))
 
 
 def mixed_seconds(text: Column) -> Column:
     """Seconds of a notation that mixes units; NULL for any other text."""
     parts = []
-    for pattern in (_ISO, _CLOCK, _WORDS):
+    for pattern in MIXED_NOTATIONS:
         h, m, s = (_decimal(_group(text, pattern, k)) for k in (1, 2, 3))
         total = F.coalesce(h, F.lit(0.0)) * 3600 + F.coalesce(m, F.lit(0.0)) * 60 + F.coalesce(s, F.lit(0.0))
         parts.append(F.when(text.rlike(pattern) & (h.isNotNull() | m.isNotNull()), total))
@@ -86,23 +105,42 @@ def mixed_seconds(text: Column) -> Column:
     return F.when(several, F.coalesce(*parts))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number_readings(number: Column) -> Column:
-    """All readings of a written number as ``array<struct<value, thousands>>``."""
-    reading = lambda v, thousands: F.struct(v.alias("value"), F.lit(thousands).alias("thousands"))
+    """Readings of a written number as ``struct<marked, plain>``: with thousands marks, and without."""
+    both = lambda marked, plain: F.struct(marked.alias("marked"), plain.alias("plain"))
+    none = F.lit(None).cast("double")
     comma, dot = number.contains(","), number.contains(".")
-    plain = number.try_cast("double")
     no_comma = F.regexp_replace(number, ",", "").try_cast("double")
     no_dot = F.regexp_replace(number, r"\.", "")
     comma_last = F.locate(",", F.reverse(number)) < F.locate(".", F.reverse(number))
     one_of_each = F.when(comma_last, _decimal(no_dot)).otherwise(no_comma)
     return (
-        F.when(comma & dot, F.array(reading(one_of_each, True)))
-        .when(number.rlike(r"^\d{1,3}(,\d{3}){2,}$"), F.array(reading(no_comma, True)))
-        .when(number.rlike(r"^\d{1,3}(\.\d{3}){2,}$"), F.array(reading(no_dot.try_cast("double"), True)))
-        .when(number.rlike(TWO_READINGS), F.array(reading(no_comma, True), reading(_decimal(number), False)))
-        .when(comma, F.array(reading(_decimal(number), False)))
-        .otherwise(F.array(reading(plain, False)))
+        F.when(~comma & ~number.rlike(r"\..*\."), both(none, number.try_cast("double")))
+        .when(comma & dot, both(one_of_each, none))
+        .when(number.rlike(r"^\d{1,3}(,\d{3}){2,}$"), both(no_comma, none))
+        .when(number.rlike(r"^\d{1,3}(\.\d{3}){2,}$"), both(no_dot.try_cast("double"), none))
+        .when(number.rlike(TWO_READINGS), both(no_comma, _decimal(number)))
+        .when(comma, both(none, _decimal(number)))
+        .otherwise(both(none, number.try_cast("double")))
+    )
+
+
+def parsed(raw: Column) -> Column:
+    """A written time as ``struct<mixed, marked, plain, written>``: seconds of a mixed notation, readings of a number, unit beside it."""
+    none, no_unit = F.lit(None).cast("double"), F.lit(None).cast("string")
+    whole = lambda mixed, marked, plain, unit: F.struct(mixed.alias("mixed"), marked.alias("marked"), plain.alias("plain"), unit.alias("written"))
+    read = lambda number, unit: _bound(number_readings(number), lambda r: whole(none, r["marked"], r["plain"], unit))
+    single = lambda text: _bound(F.regexp_extract(text, WRITTEN_NUMBER, 1), lambda n: read(n, unit_of_word(_group(text, WRITTEN_NUMBER, 2))))
+    slow = lambda text: F.when(text.rlike(_ISO_SECONDS), read(F.regexp_extract(text, _ISO_SECONDS, 1), F.lit("s"))).otherwise(
+        _bound(mixed_seconds(text), lambda m: F.when(m > 0, whole(m, none, none, no_unit)).otherwise(single(text)))
     )
+    # About half of all texts are plain numbers and need no more than one look.
+    return F.when(raw.rlike(_PLAIN), whole(none, none, raw.try_cast("double"), no_unit)).when(raw.isNotNull(), _bound(clean_text(raw), slow))
 
 
 def unit_of_word(word: Column) -> Column:
@@ -114,62 +152,70 @@ def unit_of_word(word: Column) -> Column:
     return out
 
 
-def solve_readings(df: DataFrame, raw: str, nominal: str) -> DataFrame:
-    """Add ``mixed``, ``written``, ``close`` and ``unique`` for the text in ``raw``.
+_OPTION = "array<struct<log:double,unit:string,marked:boolean,seconds:double>>"
 
-    ``close`` holds the combinations of reading and unit that share the smallest residual
-    against ``nominal``.  Each step is a column of its own, so that nothing is computed
-    twice.
+
+def _options(time: Column) -> Column:
+    """All combinations of reading and unit of a parsed time that give a usable number of seconds."""
+    option = lambda v, unit, factor, marked: F.struct(
+        F.ln(v * factor).alias("log"), F.lit(unit).alias("unit"), F.lit(marked).alias("marked"), (v * factor).alias("seconds")
+    )
+    ways = [option(time[field], unit, F.lit(f), marked) for field, marked in (("marked", True), ("plain", False)) for unit, f in UNIT_SECONDS.items()]
+    usable = lambda o: (o["seconds"] > 0) & (o["seconds"] < float("inf"))
+    plain_only = F.filter(F.array(*ways[len(UNIT_SECONDS) :]), usable)
+    return (
+        F.when(time["mixed"] > 0, F.array(option(time["mixed"], "mixed", F.lit(1.0), False)))
+        .when(time["marked"].isNull(), F.coalesce(plain_only, F.array().cast(_OPTION)))
+        .otherwise(F.filter(F.array(*ways), usable))
+    )
+
+
+def solve(df: DataFrame, fields: tuple[str, str, str], nominal: str) -> DataFrame:
+    """Replace the parsed times ``fields`` (middle, low, high) by ``<field>_close`` and ``<field>_written``.
+
+    ``close`` holds the combinations of reading and unit that occur in a solution for all
+    three fields within ``SAME_SECONDS`` of the best.  Each step is a column of its own, so
+    that nothing is computed twice.
     """
-    factor = {u: F.lit(f) for u, f in UNIT_SECONDS.items()}
-    return computed_once(
-        df.withColumn("_text", clean_text(F.col(raw)))
-        .withColumn("_iso_s", F.regexp_extract("_text", r"^pt(\d+(?:[.,]\d+)?)s$", 1))
-        .withColumn("mixed", mixed_seconds(F.col("_text")))
-        .withColumn("_number", F.when(F.col("_iso_s") != "", F.col("_iso_s")).otherwise(_group(F.col("_text"), _NUMBER, 1)))
-        .withColumn("written", F.when(F.col("_iso_s") != "", F.lit("s")).otherwise(unit_of_word(_group(F.col("_text"), _NUMBER, 2))))
-        .withColumn("_readings", number_readings(F.col("_number")))
-        .withColumn(
-            "_options",
-            F.flatten(
-                F.transform(
-                    "_readings",
-                    lambda r: F.array(
-                        *[
-                            F.struct(
-                                F.abs(F.ln(r["value"] * f) - F.ln(F.col(nominal))).alias("residual"),
-                                F.lit(unit).alias("unit"),
-                                (r["value"] * f).alias("seconds"),
-                                r["thousands"].alias("thousands"),
-                            )
-                            for unit, f in factor.items()
-                        ]
-                    ),
-                )
-            ),
-        )
-        .withColumn("_options", F.filter("_options", lambda o: (o["seconds"] > 0) & (o["seconds"] < float("inf"))))
-        .withColumn("_least", F.array_min("_options")["residual"])
-        .withColumn("close", F.filter("_options", lambda o: o["residual"] <= F.col("_least") + SAME_SECONDS))
-        .withColumn("unique", F.when(F.col("mixed") > 0, True).when(F.size("close") > 0, F.size("close") == 1))
-        .drop("_text", "_iso_s", "_number", "_readings", "_options", "_least")
+    rest = [c for c in df.columns if c not in fields]
+    middle, low, high = fields
+    step = df.select(*rest, *[F.col(f)["written"].alias(f"{f}_written") for f in fields], *[_options(F.col(f)).alias(f"_o_{f}") for f in fields])
+    away = lambda d: F.when(d >= 0, d).otherwise(F.lit(WRONG_ORDER) - d)
+    off = {low: lambda r, o: F.coalesce(away(r["log"] - o["log"]), F.lit(0.0)), high: lambda r, o: F.coalesce(away(o["log"] - r["log"]), F.lit(0.0))}
+    best = lambda r, f: F.coalesce(F.array_min(F.transform(f"_o_{f}", lambda o: off[f](r, o))), F.lit(0.0))
+    log = F.ln(F.col(nominal))
+    # Without a middle the nominal time stands for it.
+    anchor = F.array(F.struct(log.alias("log"), F.lit(None).cast("string").alias("unit"), F.lit(False).alias("marked"), F.lit(None).cast("double").alias("seconds"))).cast(_OPTION)
+    scored = F.transform(
+        F.when(F.size(f"_o_{middle}") > 0, F.col(f"_o_{middle}")).otherwise(anchor),
+        lambda r: F.struct(r["log"].alias("log"), r["unit"].alias("unit"), r["marked"].alias("marked"), r["seconds"].alias("seconds"),
+                           F.coalesce(F.abs(r["log"] - log), F.lit(0.0)).alias("own"), best(r, low).alias("low"), best(r, high).alias("high")),
     )
+    total = lambda s: s["own"] + s["low"] + s["high"]
+    step = computed_once(step.withColumn("_scored", scored)).withColumn("_least", F.array_min(F.transform("_scored", total)))
+    step = step.withColumn("_near", F.filter("_scored", lambda s: total(s) <= F.col("_least") + SAME_SECONDS))
+    kept = lambda f, part: F.filter(f"_o_{f}", lambda o: F.exists("_near", lambda s: off[f](s, o) <= s[part] + SAME_SECONDS))
+    own = F.transform(F.filter("_near", lambda s: s["unit"].isNotNull()), lambda s: F.struct(s["log"].alias("log"), s["unit"].alias("unit"), s["marked"].alias("marked"), s["seconds"].alias("seconds")))
+    return step.select(*rest, *[f"{f}_written" for f in fields], own.alias(f"{middle}_close"), kept(low, "low").alias(f"{low}_close"), kept(high, "high").alias(f"{high}_close"))
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Replace ``close`` by ``seconds`` and ``unit``; ``usual`` is the file's usual unit."""
+    rank = lambda unit: F.element_at(F.create_map(*[F.lit(x) for k, u in enumerate([*UNIT_SECONDS, "mixed"]) for x in (u, k)]), unit)
     key = lambda o: F.struct(
         F.coalesce((o["unit"] != F.col("written")).cast("int"), F.lit(0)).alias("k1"),
         F.coalesce((o["unit"] != F.col("usual")).cast("int"), F.lit(0)).alias("k2"),
-        (~o["thousands"]).alias("k3"),
+        (~o["marked"]).alias("k3"),
+        rank(o["unit"]).alias("k4"),
         o["unit"].alias("unit"),
         o["seconds"].alias("seconds"),
     )
-    return computed_once(
-        df.withColumn("_best", F.array_min(F.transform("close", key)))
-        .withColumn("seconds", F.when(F.col("mixed") > 0, F.col("mixed")).otherwise(F.col("_best.seconds")))
-        .withColumn("unit", F.when(F.col("mixed") > 0, F.lit("mixed")).otherwise(F.col("_best.unit")))
-        .drop("_best", "close", "mixed")
+    one = F.get("close", F.lit(0))
+    return (
+        df.withColumn("_best", F.when(F.size("close") > 1, F.array_min(F.transform("close", key))))
+        .withColumn("seconds", F.coalesce(F.col("_best.seconds"), one["seconds"]))
+        .withColumn("unit", F.coalesce(F.col("_best.unit"), one["unit"]))
+        .drop("_best", "close")
     )
 
 
@@ -188,12 +234,12 @@ def standard_times(standards: DataFrame, window_ppm: float) -> tuple[DataFrame,
 def field_seconds(
     records: DataFrame,
     standards: DataFrame,
-    fields: tuple[str, ...] = ("rt", "rtmin", "rtmax"),
+    fields: tuple[str, str, str] = ("rt", "rtmin", "rtmax"),
     identity: str = "record_id",
     file: str = "file_name",
     window_ppm: float = 20.0,
 ) -> DataFrame:
-    """One row for each field of each record.
+    """One row for each field of each record; ``fields`` are a middle and its lower and upper bound.
 
     ``(identity, field, seconds, unit, unique, label_agrees)``: ``unit`` is ``s``, ``min``,
     ``h``, ``ms``, ``mixed`` or NULL; ``label_agrees`` is NULL where no unit is written,
@@ -220,30 +266,34 @@ def field_seconds(
         F.col("rt_unit").alias("label"),
         *[F.col(f).cast("string").alias(f"f_{f}") for f in fields],
     )
-    long = joined.groupBy(identity).agg(F.min(best).alias("r")).select(
+    wide = joined.groupBy(identity).agg(F.min(best).alias("r")).select(
         identity,
         F.col("r.file").alias("_file"),
         F.col("r.label").alias("_label"),
         F.coalesce("r.by_mz", "r.by_name", F.lit(None if middle is None else math.exp(middle)).cast("double")).alias("_nominal"),
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"r.f_{f}").alias("raw")) for f in fields])).alias("_f"),
+        *[parsed(F.col(f"r.f_{f}")).alias(f) for f in fields],
     )
-    long = long.select(identity, "_file", "_label", "_nominal", "_f.field", "_f.raw")
-    solved = solve_readings(long, "raw", "_nominal").drop("raw")
-    sure = F.when(F.col("unique") & F.col("mixed").isNull(), F.get("close", F.lit(0))["unit"])
+    solved = solve(computed_once(wide), fields, "_nominal")
+    each = [F.struct(F.lit(f).alias("field"), F.col(f"{f}_close").alias("close"), F.col(f"{f}_written").alias("written")) for f in fields]
+    long = solved.select(identity, "_file", "_label", F.explode(F.array(*each)).alias("_f")).select(identity, "_file", "_label", "_f.*")
+    # Solved once: the files' habits and the results are both read from what is written.
+    long = cut_lineage(long.withColumn("unique", F.when(F.size("close") > 0, F.size("close") == 1)))
+    sure = F.when(F.col("unique"), F.get("close", F.lit(0))["unit"])
     counts = [F.count_if(sure == u) for u in UNIT_SECONDS]
-    # Only files with a text of two readings can have a field that is not unique; only they are asked for their habits.
-    asked = long.where(F.regexp_replace(clean_text(F.col("raw")), r"[^\d.,]+$", "").rlike(TWO_READINGS)).select("_file").distinct()
     usual = (
-        solve_readings(long.join(asked, "_file", "left_semi"), "raw", "_nominal")
-        .groupBy("_file")
+        long.groupBy("_file")
         .agg(
             F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(u).alias("u")) for n, u in zip(counts, UNIT_SECONDS)])).alias("_m"),
             F.count_if(~F.col("unique")).alias("_open"),
         )
-        .where(F.col("_open") > 0)
+        .where("_open > 0 AND _file IS NOT NULL")
         .select("_file", F.when(F.col("_m.n") > 0, F.col("_m.u")).alias("usual"))
     )
-    return settle(solved.join(usual, "_file", "left")).select(
+    # Only fields that are not unique ask for the habits of their file.
+    open_, usual = split_hot(long.where("NOT unique AND _file IS NOT NULL"), usual, ["_file"], identity)
+    asked = open_.join(usual, ["_file", "_salt"], "left").drop("_salt")
+    rest = long.where("unique OR unique IS NULL OR _file IS NULL").withColumn("usual", F.lit(None).cast("string"))
+    return settle(rest.unionByName(asked)).select(
         identity,
         "field",
         "seconds",

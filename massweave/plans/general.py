@@ -167,6 +167,57 @@ _DRIFT = f"""WITH r AS (SELECT DISTINCT file_id, row_no, payload FROM export_row
   b AS (SELECT COALESCE(o.file_id, w.file_id) AS file_id, o.name AS oname, w.name AS wname, o.type AS otype, w.type AS wtype
     FROM o FULL JOIN w ON w.file_id = o.file_id AND w.role = o.role)"""
 
+_BLANK = r"[\s\x{A0}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_CLEAN = lambda c: f"TRIM(LOWER(REGEXP_REPLACE({c}, '{_BLANK}', ' ', 'g')))"
+_PART = lambda pattern, k: f"NULLIF(REGEXP_EXTRACT(t, '{pattern}', {k}), '')"
+_COMMA = lambda c: f"TRY_CAST(REPLACE({c}, ',', '.') AS DOUBLE)"
+_MIXED = " ".join(
+    f"""WHEN REGEXP_MATCHES(t, '{p}') AND ({_PART(p, 1)} IS NOT NULL OR {_PART(p, 2)} IS NOT NULL)
+    THEN COALESCE({_COMMA(_PART(p, 1))}, 0) * 3600 + COALESCE({_COMMA(_PART(p, 2))}, 0) * 60 + COALESCE({_COMMA(_PART(p, 3))}, 0)"""
+    for p in units.MIXED_NOTATIONS
+)
+_UNIT = lambda c: "CASE " + " ".join(
+    f"WHEN REPLACE(LOWER(TRIM({c})), '.', '') IN ({', '.join(repr(w) for w in words.split())}) THEN '{unit}'" for unit, words in units.UNIT_WORDS.items()
+) + " END"
+_AWAY = lambda d: f"CASE WHEN {d} >= 0 THEN {d} ELSE {units.WRONG_ORDER} - ({d}) END"
+_RANK = "CASE unit WHEN 's' THEN 0 WHEN 'min' THEN 1 WHEN 'h' THEN 2 WHEN 'ms' THEN 3 ELSE 4 END"
+
+_TIMES = f"""WITH r AS (SELECT DISTINCT ON (record_id) * FROM rt_exports WHERE record_id IS NOT NULL),
+  st AS (SELECT * FROM internal_standards WHERE rt_seconds > 0),
+  by_mz AS (SELECT record_id, ARG_MIN(rt_seconds, (ABS(r.mz - st.mz), rt_seconds)) AS s FROM r JOIN st ON ABS(r.mz - st.mz) <= st.mz * 20e-6 GROUP BY record_id),
+  by_name AS (SELECT {_CLEAN("standard_name")} AS name, MIN(rt_seconds) AS s FROM st GROUP BY 1),
+  base AS (SELECT r.*, COALESCE(m.s, n.s, (SELECT EXP(AVG(LN(rt_seconds))) FROM st)) AS nominal FROM r LEFT JOIN by_mz m USING (record_id) LEFT JOIN by_name n ON n.name = {_CLEAN("standard_label")}),
+  long AS ({" UNION ALL ".join(f"SELECT record_id, file_name, rt_unit, nominal, '{f}' AS field, {_CLEAN(f)} AS t FROM base" for f in ("rt", "rtmin", "rtmax"))}),
+  mixes AS (SELECT *, CASE {_MIXED} END AS mixed, {_PART("^pt([0-9]+(?:[.,][0-9]+)?)s$", 1)} AS iso FROM long),
+  nums AS (SELECT *, COALESCE(iso, {_PART(units.WRITTEN_NUMBER, 1)}) AS num, CASE WHEN iso IS NOT NULL THEN 's' ELSE {_UNIT(_PART(units.WRITTEN_NUMBER, 2))} END AS written FROM mixes),
+  rd AS (SELECT *,
+    CASE WHEN mixed > 0 THEN NULL WHEN num LIKE '%,%' AND num LIKE '%.%' THEN CASE WHEN STRPOS(REVERSE(num), ',') < STRPOS(REVERSE(num), '.') THEN {_COMMA("REPLACE(num, '.', '')")} ELSE TRY_CAST(REPLACE(num, ',', '') AS DOUBLE) END
+      WHEN REGEXP_MATCHES(num, '^[0-9]{{1,3}}(,[0-9]{{3}}){{2,}}$') OR REGEXP_MATCHES(num, '{units.TWO_READINGS}') THEN TRY_CAST(REPLACE(num, ',', '') AS DOUBLE)
+      WHEN REGEXP_MATCHES(num, '^[0-9]{{1,3}}([.][0-9]{{3}}){{2,}}$') THEN TRY_CAST(REPLACE(num, '.', '') AS DOUBLE) END AS marked_value,
+    CASE WHEN mixed > 0 OR (num LIKE '%,%' AND num LIKE '%.%') OR REGEXP_MATCHES(num, '^[0-9]{{1,3}}([,][0-9]{{3}}){{2,}}$') OR REGEXP_MATCHES(num, '^[0-9]{{1,3}}([.][0-9]{{3}}){{2,}}$') THEN NULL
+      ELSE {_COMMA("num")} END AS plain_value FROM nums),
+  opt AS (SELECT record_id, field, LN(seconds) AS log, unit, marked, seconds FROM (
+      SELECT record_id, field, 'mixed' AS unit, FALSE AS marked, mixed AS seconds FROM rd WHERE mixed > 0
+      UNION ALL SELECT record_id, field, u.unit, TRUE, marked_value * f FROM rd, (VALUES ('s', 1.0::DOUBLE), ('min', 60), ('h', 3600), ('ms', 0.001)) u(unit, f)
+      UNION ALL SELECT record_id, field, u.unit, FALSE, plain_value * f FROM rd, (VALUES ('s', 1.0::DOUBLE), ('min', 60), ('h', 3600), ('ms', 0.001)) u(unit, f))
+    WHERE seconds > 0 AND isfinite(seconds)),
+  anchor AS (SELECT o.*, LN(nominal) AS target FROM opt o JOIN base USING (record_id) WHERE field = 'rt'
+    UNION ALL SELECT record_id, 'rt', LN(nominal), NULL, FALSE, NULL, LN(nominal) FROM base WHERE record_id NOT IN (SELECT record_id FROM opt WHERE field = 'rt')),
+  numbered AS (SELECT *, ROW_NUMBER() OVER () AS a FROM anchor),
+  off AS (SELECT n.a, n.record_id, o.field, o.log, o.unit, o.marked, o.seconds, {_AWAY("CASE o.field WHEN 'rtmin' THEN n.log - o.log ELSE o.log - n.log END")} AS away
+    FROM numbered n JOIN opt o ON o.record_id = n.record_id AND o.field <> 'rt'),
+  least AS (SELECT a, field, MIN(away) AS away FROM off GROUP BY a, field),
+  total AS (SELECT n.*, ABS(n.log - target) + COALESCE(l.away, 0) + COALESCE(h.away, 0) AS total FROM numbered n
+    LEFT JOIN least l ON l.a = n.a AND l.field = 'rtmin' LEFT JOIN least h ON h.a = n.a AND h.field = 'rtmax'),
+  near AS (SELECT * FROM total QUALIFY total <= MIN(total) OVER (PARTITION BY record_id) + {units.SAME_SECONDS}),
+  close AS (SELECT DISTINCT record_id, field, unit, marked, seconds FROM near WHERE unit IS NOT NULL
+    UNION SELECT o.record_id, o.field, o.unit, o.marked, o.seconds FROM near n JOIN off o ON o.a = n.a JOIN least l ON l.a = o.a AND l.field = o.field WHERE o.away <= l.away + {units.SAME_SECONDS}),
+  counted_ AS (SELECT *, COUNT(*) OVER (PARTITION BY record_id, field) = 1 AS one FROM close),
+  habit AS (SELECT file_name, unit AS usual FROM counted_ JOIN base USING (record_id) WHERE one AND unit <> 'mixed' GROUP BY file_name, unit
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY file_name ORDER BY COUNT(*) DESC, unit DESC) = 1),
+  settled AS (SELECT rd.record_id, rd.field, c.seconds, c.unit, c.one, COALESCE(written, {_UNIT("rt_unit")}) = c.unit AS agrees FROM rd LEFT JOIN counted_ c USING (record_id, field) LEFT JOIN habit h ON h.file_name = rd.file_name
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY rd.record_id, rd.field ORDER BY COALESCE(c.unit <> written, FALSE), COALESCE(c.unit <> usual, FALSE), marked DESC, {_RANK}) = 1)"""
+
 SQL = {
     "p5_found": f"""{_DRIFT} SELECT file_id, 'added' AS change, '' AS old_name, wname AS new_name FROM b WHERE oname IS NULL
       UNION ALL SELECT file_id, 'removed', oname, '' FROM b WHERE wname IS NULL
@@ -187,6 +238,10 @@ SQL = {
       FROM long a LEFT JOIN values_ x USING (feature_id, field) WHERE a.v IS NULL
       UNION ALL SELECT feature_id, 'polarity', NULL, COALESCE(gi, si), CASE WHEN gi IS NOT NULL THEN 0 WHEN si IS NOT NULL THEN 3 END,
         CASE WHEN COALESCE(go, so) IS NULL THEN [] ELSE [COALESCE(go, so)] END FROM modes""",
+    "p4_found": f"{_TIMES} SELECT record_id, field FROM settled WHERE unit <> 's'",
+    "p4_seconds": f"{_TIMES} SELECT record_id, " + ", ".join(
+        f"MAX({c}) FILTER (WHERE field = '{f}') AS {f}_{n}" for f in ("rt", "rtmin", "rtmax") for c, n in (("seconds", "seconds"), ("unit", "unit"), ("one", "unique"), ("agrees", "label_agrees"))
+    ) + " FROM settled GROUP BY record_id",
 }
 
 QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_seconds": p4_seconds, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions}
