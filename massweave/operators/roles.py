@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names of each role, in lower case; ``_`` stands for one optional character.
+#: Names of each role, in lower case, as patterns.
 ROLE_NAMES = {
-    "mz": ("mz", "m/z", "mass", "precursor_mz", "precursor_mass", "average_mz", "monoisotopic_mass", "exact_mass", "mw"),
-    "mz_min": ("mzmin", "mz_min", "min_mz", "precursor_mz_min"),
-    "mz_max": ("mzmax", "mz_max", "max_mz", "precursor_mz_max"),
-    "rt": ("rt", "retention_time", "rt_mean", "best_retention_time", "average_rt", "apex_rt", "peak_rt", "med_rt"),
-    "rt_min": ("rtmin", "rt_min", "min_rt", "start_rt"),
-    "rt_max": ("rtmax", "rt_max", "max_rt", "end_rt"),
+    "mz": ("mz", "m/z", "mass", "precursor.?mz", "precursor.?mass", "average.?mz", "monoisotopic.?mass", "exact.?mass", "mw"),
+    "mz_min": ("mzmin", "mz.?min", "min.?mz", "precursor.?mz.?min"),
+    "mz_max": ("mzmax", "mz.?max", "max.?mz", "precursor.?mz.?max"),
+    "rt": ("rt", "retention.?time", "rt.?mean", "best.?retention.?time", "average.?rt", "apex.?rt", "peak.?rt", "med.?rt"),
+    "rt_min": ("rtmin", "rt.?min", "min.?rt", "start.?rt"),
+    "rt_max": ("rtmax", "rt.?max", "max.?rt", "end.?rt"),
     "annotation": (
-        "isotopes", "adduct", "pcgroup", "charge", "formula", "annotation", "name", "compound", "id", "feature_id", "flag", "ms2", "msms",
+        "isotopes", "adduct", "pcgroup", "charge", "formula", "annotation", "name", "compound", "id", "feature.?id", "flag", "ms2", "msms",
         "score", "fdr",
     ),
 }
@@ -32,7 +32,7 @@ _BOUNDS = ("mz_min", "mz_max", "rt_min", "rt_max")
 
 
 def _pattern(role: str) -> re.Pattern:
-    return re.compile("|".join(re.escape(n).replace("_", ".?") for n in ROLE_NAMES[role]), re.S)
+    return re.compile("|".join(ROLE_NAMES[role]), re.S)
 
 
 def has_role(column: str, role: str) -> bool:

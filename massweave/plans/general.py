@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from massweave.operators import hotdeck, intervals, schema_drift, units
 from massweave.plans.runtime import query, table
@@ -70,15 +71,27 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def p5_table(spark: SparkSession, directory: str) -> DataFrame:
     """Records of all files in one table."""
-    return schema_drift.unified(schema_drift.distinct_records(table(spark, directory, "export_rows")))
+    return schema_drift.table_of(table(spark, directory, "export_files"), table(spark, directory, "export_rows"))
+
+
+@query
+def p5_cells(spark: SparkSession, directory: str) -> DataFrame:
+    """The table cell by cell, numbers and texts that hold one rounded."""
+    t = schema_drift.table_of(table(spark, directory, "export_files"), table(spark, directory, "export_rows"))
+    cell = lambda place, number, text: F.struct(place.alias("place"), number.alias("number"), text.alias("text"))
+    no_text, key = F.lit(None).cast("string"), lambda e: e["key"]
+    own = F.array(*[cell(F.lit(r), F.col(r), no_text) for r in schema_drift.COORDINATES])
+    samples = F.transform(F.map_entries("intensities"), lambda e: cell(F.concat(F.lit("sample:"), key(e)), e["value"], no_text))
+    others = F.transform(F.map_entries("annotations"), lambda e: cell(F.concat(F.lit("annotation:"), key(e)), e["value"].try_cast("double"), F.when(e["value"].try_cast("double").isNull(), e["value"])))
+    cells = t.select("file_id", "row_no", "n_cast", "n_lost", F.inline(F.concat(own, samples, others)))
+    rounded = cells.withColumn("number", F.round("number", 6)).where("number IS NOT NULL OR text IS NOT NULL")
+    return rounded.groupBy("file_id", "row_no", "place", "number", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("n_cast").alias("n_cast"), F.sum("n_lost").alias("n_lost"))
 
 
 @query
 def p5_versions(spark: SparkSession, directory: str) -> DataFrame:
     """Schemas of each stream by their fingerprints."""
-    records = schema_drift.distinct_records(table(spark, directory, "export_rows"))
-    schemas = schema_drift.file_schemas(schema_drift.file_columns(records))
-    return schema_drift.schema_versions(schema_drift.consecutive(table(spark, directory, "export_files"), schemas))
+    return schema_drift.versions(table(spark, directory, "export_files"), table(spark, directory, "export_rows"))
 
 
 _LATEST_SEGMENTS = """
@@ -148,7 +161,7 @@ def _role_sql(name: str) -> str:
     sample = f"regexp_replace({low}, '{schema_drift.SAMPLE_PREFIX}', '')"
     groups = "|".join(schema_drift.SAMPLE_GROUPS)
     kinds = [*schema_drift.COORDINATES.items(), *((f"annotation:{k}", v) for k, v in schema_drift.ANNOTATIONS.items())]
-    whens = " ".join(f"WHEN {bare} IN ({', '.join(repr(n) for n in names.split())}) THEN '{kind}'" for kind, names in kinds)
+    whens = " ".join(f"WHEN {bare} IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in kinds)
     return f"""CASE {whens} WHEN regexp_matches({sample}, '^[a-z]+[0-9]*[ _.-][0-9]+$') THEN 'sample:' || regexp_replace({sample}, '[ .-]', '_')
       WHEN regexp_matches({sample}, '^({groups})[0-9]$') THEN 'sample:' || regexp_replace({sample}, '([0-9])$', '_\\1') ELSE 'other:' || {bare} END"""
 
@@ -242,6 +255,19 @@ SQL = {
     "p4_seconds": f"{_TIMES} SELECT record_id, " + ", ".join(
         f"MAX({c}) FILTER (WHERE field = '{f}') AS {f}_{n}" for f in ("rt", "rtmin", "rtmax") for c, n in (("seconds", "seconds"), ("unit", "unit"), ("one", "unique"), ("agrees", "label_agrees"))
     ) + " FROM settled GROUP BY record_id",
+    "p5_versions": f"""{_DRIFT}, lines AS (SELECT file_id, MD5(STRING_AGG(line, chr(10) ORDER BY line)) AS fingerprint, COUNT(*) AS n FROM (
+        SELECT file_id, role || '|' || name || '|' || COALESCE(type, '') AS line FROM c) GROUP BY file_id)
+      SELECT stream, fingerprint, COUNT(*) AS n_files, MIN(ts) AS first_file_at, MAX(ts) AS last_file_at, MAX(COALESCE(n, 0))::INT AS n_columns
+      FROM f LEFT JOIN lines USING (file_id) WHERE stream IS NOT NULL AND ts IS NOT NULL GROUP BY stream, fingerprint""",
+    "p5_cells": f"""{_DRIFT}, cell AS (SELECT r.file_id, r.row_no, r.id, c.role, json_type(payload, '$."' || name || '"') AS t, payload ->> ('$."' || name || '"') AS x
+        FROM (SELECT *, ROW_NUMBER() OVER () AS id FROM r) r JOIN c ON c.file_id = r.file_id AND json_exists(payload, '$."' || name || '"')),
+      typed AS (SELECT *, NOT STARTS_WITH(role, 'annotation:') AS numeric, CASE WHEN t IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'VARCHAR')
+        AND REGEXP_MATCHES(TRIM(x), '^[+-]?[0-9]*[.,]?[0-9]+([eE][+-]?[0-9]+)?$') THEN TRY_CAST(REPLACE(TRIM(x), ',', '.') AS DOUBLE) END AS v FROM cell WHERE t <> 'NULL'),
+      counts AS (SELECT *, COUNT(*) FILTER (WHERE numeric AND t = 'VARCHAR' AND v IS NOT NULL) OVER w AS n_cast, COUNT(*) FILTER (WHERE numeric AND v IS NULL AND t <> 'OBJECT') OVER w AS n_lost
+        FROM typed WINDOW w AS (PARTITION BY id)),
+      out_ AS (SELECT file_id, row_no, role AS place, ROUND(CASE WHEN numeric THEN v ELSE TRY_CAST(x AS DOUBLE) END, 6) AS number,
+        CASE WHEN NOT numeric AND TRY_CAST(x AS DOUBLE) IS NULL THEN x END AS text, n_cast, n_lost FROM counts)
+      SELECT file_id, row_no, place, number, text, COUNT(*) AS n, SUM(n_cast)::BIGINT AS n_cast, SUM(n_lost)::BIGINT AS n_lost FROM out_ WHERE number IS NOT NULL OR text IS NOT NULL GROUP BY ALL""",
 }
 
-QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_seconds": p4_seconds, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions}
+QUERIES = {"p2_found": p2_found, "p2_periods": p2_periods, "p3_found": p3_found, "p3_filled": p3_filled, "p4_found": p4_found, "p4_seconds": p4_seconds, "p5_found": p5_found, "p5_table": p5_table, "p5_cells": p5_cells, "p5_versions": p5_versions}

@@ -98,3 +98,53 @@ def test_table_follows_the_schema_of_each_file(spark):
     assert got[1] == {"adduct": "[M+H]+", "other:batch": "b1", "other:tags": '["x"]', "other:none": None}
     assert got[2] == {"other:ionseen": "plain text", "other:Foo_1x": "p", "other:foo-1x": "q"}
     assert got[3] == {"adduct": "[M+H]+", "other:ion": "[M+Na]+"}
+
+
+def test_names_nobody_knows_take_over_roles_by_their_values(spark):
+    def one(k, names):
+        level = 1.0 + 0.37 * k
+        values = (400.0 + 31 * k, 900.0 + 17 * k, 5e4 * level, "x" * (3 + k % 2), k % 2 == 0)
+        return dict(zip(names, values))
+
+    old = ("mz", "rt", "LL_1", "name", "flag")
+    new = ("Masse", "Zeit", "Flaeche", "Bezeichnung", "ok?")
+    listed = [(k, "s", at(k), None) for k in (1, 2, 3)] + [(4, "t", at(4), None)]
+    content = [(f, n, one(n, old if f == 1 else new)) for f in (1, 2, 3, 4) for n in range(1, 9)]
+    got = sorted((r.file_id, r.change, r.old_name, r.new_name) for r in D.changes(files(spark, listed), rows(spark, content)).collect())
+    assert got == sorted((2, "renamed", a, b) for a, b in zip(old, new))
+    table = {(r.file_id, r.row_no): r for r in D.table_of(files(spark, listed), rows(spark, content)).collect()}
+    # The role is kept by the files after the step, and unknown to another stream.
+    assert (table[3, 1].mz, table[3, 1].rt, table[3, 1].intensities) == (431.0, 917.0, {"ll_1": 5e4 * 1.37})
+    assert set(table[4, 1].annotations) == {"other:masse", "other:zeit", "other:flaeche", "other:bezeichnung", "other:ok"} and table[4, 1].mz is None
+
+
+def test_columns_of_alike_values_are_not_taken_for_each_other(spark):
+    first = {"LL_1": 100.0, "LL_2": 101.0, "mz": 5.0}
+    content = [(1, n, {k: v + n for k, v in first.items()}) for n in range(5)] + [(2, n, {"Neu": 100.5 + n, "mz": 5.0 + n}) for n in range(5)]
+    got = sorted((r.change, r.old_name, r.new_name) for r in D.changes(files(spark, [(1, "s", at(1), None), (2, "s", at(2), None)]), rows(spark, content)).collect())
+    assert got == [("added", "", "Neu"), ("removed", "LL_1", ""), ("removed", "LL_2", "")]
+
+
+def test_chained_steps_come_to_the_routes(spark):
+    content = [
+        (1, 1, {"mz": 1.0, "RT": 2.0, "Area_LL_1": 3.0, "adduct": "[M+H]+"}), (2, 1, {"m/z": 1.0, "RT": "2,0", "Area_LL_1": 3.0, "ion": "[M+H]+"}),
+        (3, 1, {"m/z": 1.0, "rt": 2.0, "ion": "[M+H]+", "z": 1}), (4, 1, {"mass": 1.0, "rt": 2.0, "LL-1": 3.0, "ion": "[M+H]+", "Charge": 1}),
+    ]
+    listed = [(k, "s", at(k), None) for k in (1, 2, 3, 4)]
+    records = D.distinct_records(rows(spark, content))
+    columns = D.file_columns(records)
+    routes = {r.file_id: r._roles for r in D.file_routes(columns).collect()}
+    steps = D.changes(files(spark, listed), rows(spark, content)).collect()
+    route = dict(routes[1])
+    for k in (2, 3, 4):
+        mine = [s for s in steps if s.file_id == k]
+        route = {n: r for n, r in route.items() if n not in {s.old_name for s in mine if s.change in ("removed", "renamed")}} | {
+            s.new_name: route[s.old_name] for s in mine if s.change == "renamed"
+        } | {s.new_name: routes[k][s.new_name] for s in mine if s.change == "added"}
+        assert route == routes[k]
+
+
+def test_long_names_that_differ_at_the_end_stay_apart(spark):
+    names = ["Area_" + "x" * 300 + end for end in "ab"]
+    got = D.unified(D.distinct_records(rows(spark, [(1, 1, {names[0]: 1.0, names[1]: 2.0, "Mass (m/z)": 3.5, "Sample Alpha": 4.5})]))).first()
+    assert sorted(got.intensities.values()) == [1.0, 2.0] and got.annotations == {"other:massmz": "3.5", "other:samplealpha": "4.5"}
