@@ -130,7 +130,7 @@ WHOLE_HUNK = "commit 1234567890\n\n    say it\n\ndiff --git a/x b/x\n--- a/x\n++
 @pytest.mark.parametrize(
     "text,broken",
     [(WHOLE_HUNK, False), (WHOLE_HUNK.rstrip(), False), (WHOLE_HUNK[:-6], True), (WHOLE_HUNK[:-15] + "\n", True), (WHOLE_HUNK + "diff --git a/y b", True), (WHOLE_HUNK + "ind", True),
-     (WHOLE_HUNK + "@@ -9", True), ("commit 1234567890\nAuthor: x", True), ("From 12345678 Mon\nSubject: x\n\nbody\n", True), ("From 12345678 Mon\nSubject: x\n\nbody\n-- \n2.3.1\n", False),
+     (WHOLE_HUNK + "@@ -9", True), ("commit 1234567890\nAuthor: x", True), ("From 12345678 Mon\nSubject: x\n\nbody\n-- \n2.3.1\n", False),
      ("From 12345678 Mon\r\n\r\nbody\r\n-- \r\n2.3.1", False), ("just words", False)],
 )
 def test_structure(text, broken):
@@ -166,6 +166,33 @@ def test_cut_texts_are_found(spark):
     assert T.judged(documents(spark, [])).count() == 0
 
 
+def test_terminators_and_owners_of_beginnings_are_learned(spark):
+    mail = lambda k, end: (k, "Any Mail", None, f"From {k:08x} Mon\nSubject: note {k}\n\nbody of it\n{end}")
+    rows = [mail(k, "-- \n2.3.1\n") for k in range(200)] + [mail(200, ""), mail(201, "-- \r\n2.31\r\n"), mail(202, "more\n")]
+    rows += [(203, None, None, "From 0abc1234 Mon\nSubject: other\n\nbody\n"), (204, "Any Mail", None, "just a message\n")]
+    rows += [(1000 + k, "notes", None, f"first line {k}\nthe end\n") for k in range(100)]
+    got = {x.doc_id: (x.source, x.reason) for x in T.judged(documents(spark, rows)).where("cut").collect()}
+    # Texts of another beginning need no signature; a text without a source is judged by the source of its beginning.
+    assert got == {k: ("any_mail", "terminator") for k in (200, 202, 203)}
+
+
+def test_limits_are_not_exceeded_and_short_ones_are_found(spark):
+    r = random.Random(2)
+    rows = [(k, "brief", None, "".join(r.choice("abcdef gh") for _ in range(r.randint(20, 300)))[:72]) for k in range(400)]
+    # Many texts of one length are no limit where more texts are longer.
+    rows += [(1000 + k, "wide", None, "x" * 33 if k % 3 == 0 else "".join(r.choice("abcdef gh") for _ in range(r.randint(40, 5000)))) for k in range(600)]
+    # Both sides of the border of two stretches are seen.
+    rows += [(2000 + k, "long", None, "y" * min(4096, r.randint(100, 9000))) for k in range(400)]
+    stored = documents(spark, rows).select("source", F.lit(False).alias("blank"), *[c.alias(f"len_{k}") for k, c in T.lengths(F.col("text")).items()])
+    found = {(x.source, x.way, x.size) for x in T.hidden_limits(stored).collect()}
+    assert {("brief", "chars", 72), ("long", "chars", 4096)} <= found and not any(s == "wide" for s, _, _ in found)
+
+
+def test_marks_are_found_as_in_the_whole_text():
+    for text, mark in (("a" * 500 + " …", "…"), ("line...\nlast [cut after " + "x" * 300 + "]\n", "[cut after " + "x" * 300 + "]"), ("more …\nand an end\n", None)):
+        assert T.inspect(text)[2] == mark
+
+
 def test_hidden_limits_in_bytes(spark):
     r = random.Random(9)
     rows = []
