@@ -4,7 +4,7 @@ Texts are split into pre-tokens.  Tier one resolves every pre-token that is itse
 the vocabulary through a minimal perfect hash: as many slots as words, one probe, and a
 comparison with the word stored there.  Tier two merges the others with a heap over a linked
 list of their bytes, which stays near-linear for a pre-token of any length.  The distinct
-pre-tokens of a batch are resolved once.
+pre-tokens of a batch are resolved once, and a bounded number is kept for later batches.
 
 Defined results
   * NULL and empty texts give an empty list of ids;
@@ -27,7 +27,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from massweave.plans.runtime import ship_package
 
@@ -48,6 +49,10 @@ _SPLIT_ASCII = re.compile(
 )
 
 
+#: Vocabularies whose texts are split by this pattern.
+VOCABULARIES = ("byte_bpe_50k", "byte_bpe_multi_50k")
+
+
 def split_text(text: str) -> list[str]:
     """The pre-tokens of a text; joined they give the text again."""
     return _SPLIT_ASCII.findall(text) if text.isascii() else _SPLIT.findall(text)
@@ -166,6 +171,7 @@ class BytePairVocabulary:
             pairs = [line.split() for line in f if line.strip()]
         self.ranks = {base64.b64decode(word): int(rank) for word, rank in pairs}
         words = list(self.ranks)
+        self.memo: dict[str, list[int]] = {}
         self.hash = PerfectHash(words)
         self.words: list[bytes] = [b""] * len(words)
         self.ids = np.zeros(len(words), np.int32)
@@ -173,17 +179,19 @@ class BytePairVocabulary:
             self.words[slot] = word
             self.ids[slot] = self.ranks[word]
 
-    def resolve(self, pieces: Iterable[str]) -> dict[str, list[int]]:
-        """Ids of distinct pre-tokens."""
-        texts = list(pieces)
+    def resolve(self, pieces: set[str]) -> dict[str, list[int]]:
+        """Ids of pre-tokens, those of ``pieces`` at least; what is resolved is kept for later batches, up to a bound."""
+        texts = [t for t in pieces if t not in self.memo]
         if not texts:
-            return {}
+            return self.memo
+        if len(self.memo) + len(texts) > MEMO_PIECES:
+            texts = list(pieces)
+            self.memo.clear()
         keys = [t.encode("utf-8", "surrogatepass") for t in texts]
         slots = self.hash.lookup(keys)
-        out = {}
         for text, key, slot, one in zip(texts, keys, slots.tolist(), self.ids[slots].tolist()):
-            out[text] = [one] if self.words[slot] == key else merge_bytes(key, self.ranks)
-        return out
+            self.memo[text] = [one] if self.words[slot] == key else merge_bytes(key, self.ranks)
+        return self.memo
 
 
 @lru_cache(maxsize=4)
@@ -193,10 +201,28 @@ def vocabulary(path: str) -> BytePairVocabulary:
 
 
 def rank_file(name: str, folder: str | None = None) -> str:
-    """Place of the rank file of a named byte-level vocabulary."""
+    """Place of the rank file of a named byte-level vocabulary; ``ValueError`` for one that splits texts in another way."""
+    if name not in VOCABULARIES:
+        raise ValueError(f"{name!r} is none of {VOCABULARIES}")
     return os.path.join(folder or DEFAULT_FOLDER, f"{name}.tiktoken")
 
 
+def _shipped(spark: SparkSession, name: str, folder: str | None) -> str:
+    """Send the rank file to all workers, once a session, and give the name they find it under."""
+    path, context = rank_file(name, folder), spark.sparkContext
+    shipped = context.__dict__.setdefault("_massweave_files", {})
+    base = os.path.basename(path)
+    if shipped.setdefault(base, path) != path:
+        raise ValueError(f"another {base} was sent before: {shipped[base]}")
+    if path not in context.__dict__.setdefault("_massweave_sent", set()):
+        context.addFile(path)
+        context._massweave_sent.add(path)
+    return base
+
+
+#: Pre-tokens whose ids a Python process keeps.
+MEMO_PIECES = 200_000
+
 #: Characters of text whose pre-tokens are resolved together.
 CHUNK_CHARS = 4_000_000
 
@@ -228,19 +254,19 @@ def count_batch(texts: list[str | None], path: str) -> Iterator[int]:
     vocab = vocabulary(path)
     for chunk in _chunks([t or "" for t in texts]):
         split = [split_text(t) for t in chunk]
-        sizes = {p: len(i) for p, i in vocab.resolve(set(chain.from_iterable(split))).items()}
+        ids = vocab.resolve(set(chain.from_iterable(split)))
         for pieces in split:
-            yield sum(map(sizes.__getitem__, pieces))
+            yield sum(map(len, map(ids.__getitem__, pieces)))
 
 
 def encode(documents: DataFrame, identity: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``(identity, ids)`` of each row; see the module for NULL and empty texts."""
-    path = rank_file(name, folder)
+    file = _shipped(documents.sparkSession, name, folder)
     ship_package(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            arrays = list(encode_batch(batch.column(1).to_pylist(), path))
+            arrays = list(encode_batch(batch.column(1).to_pylist(), SparkFiles.get(file)))
             offsets = np.zeros(len(arrays) + 1, np.int32)
             np.cumsum([len(a) for a in arrays], out=offsets[1:])
             values = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
@@ -253,13 +279,13 @@ def encode(documents: DataFrame, identity: str = "doc_id", text: str = "text", n
 
 def count_tokens(documents: DataFrame, text: str = "text", out: str = "n_tokens", name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``documents`` with its text replaced by the number of its tokens, 0 for NULL and empty texts."""
-    path = rank_file(name, folder)
+    file = _shipped(documents.sparkSession, name, folder)
     ship_package(documents.sparkSession)
     rest = [c for c in documents.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.array(list(count_batch(batch.column(len(rest)).to_pylist(), path)), pa.int64())
+            sizes = pa.array(list(count_batch(batch.column(len(rest)).to_pylist(), SparkFiles.get(file))), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], sizes], names=[*rest, out])
 
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in rest)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 bpe = pytest.importorskip("massweave.llm.bpe")
 from massweave.llm import match, mix, truncation as T  # noqa: E402
 from massweave.operators.hotdeck import measured  # noqa: E402
+from massweave.plans import runtime  # noqa: E402
 
 PATH = bpe.rank_file("byte_bpe_50k")
 ODD = [
@@ -41,6 +42,22 @@ def test_ids_equal_a_public_encoder(spark, tiktoken_encoding):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def test_another_vocabulary_and_its_memo(spark, monkeypatch):
+    tiktoken = pytest.importorskip("tiktoken")
+    public = pytest.importorskip("public_tokenizers")
+    path = bpe.rank_file("byte_bpe_multi_50k")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id bigint, text string")
+    got = {x.doc_id: x.ids for x in bpe.encode(df, name="byte_bpe_multi_50k").collect()}
+    assert got == {k: encoding.encode_ordinary(t or "") for k, t in enumerate(ODD)}
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 5)
+    small = [list(map(int, x)) for t in ODD for x in bpe.encode_batch([t], path)]
+    assert small == [got[k] for k in range(len(ODD))]
+    with pytest.raises(ValueError, match="none of"):
+        bpe.rank_file("word_bpe_49k")
+
+
 def test_pre_tokens_give_the_text_again():
     for t in ODD:
         assert "".join(bpe.split_text(t or "")) == (t or "")
@@ -68,7 +85,7 @@ def test_mix_against_brute_force(spark):
     df = sized(spark, rows)
     targets = spark.createDataFrame([("BIG", 5.0, 1), ("mid", 2.0, 3), ("Small", 3.0, 4), ("none", 1.0, 2), ("bad", None, 1), (None, 1.0, 1)], "source string, target_weight double, max_repeats int")
     plan = mix.budgets(df, targets)
-    by = {b.source: b for b in plan}
+    by = {b.source: b for b in plan.collect()}
     totals = {s: sum(n for x, _, n in rows if x == s) for s in ("big", "mid", "small")}
     whole = min(m * totals[s] * 10 / w for s, w, m in (("big", 5, 1), ("mid", 2, 3), ("small", 3, 4)))
     assert by["big"].budget == pytest.approx(whole * 0.5) and by["none"].budget == 0 and by["bad"].budget == 0
@@ -97,8 +114,24 @@ def test_mix_of_nothing_and_of_a_given_size(spark):
     assert mix.mix(empty, mix.budgets(empty, targets.limit(0))).count() == 0
     df = sized(spark, [("a", k, 10) for k in range(50)] + [("b", 100 + k, 10) for k in range(50)])
     plan = mix.budgets(df, targets, total_tokens=200)
-    assert {b.source: b.budget for b in plan} == {"a": 100, "b": 100}
+    assert {b.source: b.budget for b in plan.collect()} == {"a": 100, "b": 100}
     assert mix.mix(df, plan).count() == 20
+    # A size that one source cannot give its part of: the other's part stays, the shortfall is reported.
+    plan = mix.budgets(df, targets, total_tokens=1800)
+    got = {x.source: x for x in mix.shares(mix.mix(df, plan), plan).collect()}
+    assert (got["a"].used_tokens, got["a"].shortfall_tokens, got["a"].most_uses) == (500, 400, 1)
+    assert (got["b"].used_tokens, got["b"].shortfall_tokens, got["b"].most_uses) == (900, 0, 2)
+    assert got["a"].target_share == got["b"].target_share == 0.5 and got["b"].actual_share == pytest.approx(900 / 1400)
+
+
+def test_hot_sources_are_split(spark, monkeypatch):
+    df = sized(spark, [("a" if k % 3 else "b", k, 1 + k % 7) for k in range(900)])
+    targets = spark.createDataFrame([("a", 2.0, 1), ("b", 1.0, 2)], "source string, target_weight double, max_repeats int")
+    plan = mix.budgets(df, targets)
+    want = sorted(map(tuple, mix.mix(df, plan).collect()))
+    monkeypatch.setattr(mix, "MOST_TARGETS", 0)
+    monkeypatch.setattr(runtime, "HOT_ROWS", 50)
+    assert sorted(map(tuple, mix.mix(df, plan).collect())) == want and len(want) > 300
 
 
 def test_sized_documents(spark):
