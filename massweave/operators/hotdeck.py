@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.operators.intervals import latest_rows
-from massweave.plans.runtime import cut_lineage, split_hot
+from massweave.plans.runtime import broadcast_if_small, cut_lineage, split_hot
 
 #: Spellings of the two ionisation modes, in lower case.
 POSITIVE = ("positive", "pos", "p", "+", "+ve", "pos.", "esi+", "positiv")
@@ -64,6 +64,9 @@ OTHER_BLOCK = 0.125
 #: Largest difference of log levels of a donor.
 FARTHEST = 1.0
 
+#: Largest table of studies, or of groups of peaks, that is sent to all executors.
+MOST_STUDIES = 200_000
+
 #: Cells to one unit of log level.
 CELLS = 64
 
@@ -200,9 +203,9 @@ def prepare(rows: DataFrame, fields: list[Field], study: str = "study", polarity
     columns = sorted({c for f in fields for c in (f.name, *f.group, *f.companions)})
     latest = latest_rows(rows, "feature_id", "loaded_at", [study, polarity, "pcgroup", *columns])
     names = [f.name for f in fields]
-    repeated = stand_ins(latest, names, study).groupBy(study).agg(F.collect_list("value").alias("_repeated"))
+    repeated = cut_lineage(stand_ins(latest, names, study).groupBy(F.col(study).alias("_s")).agg(F.collect_list("value").alias("_repeated")))
     joined = (
-        latest.join(repeated.withColumnRenamed(study, "_s"), F.col(study).eqNullSafe(F.col("_s")), "left")
+        latest.join(broadcast_if_small(repeated, MOST_STUDIES), F.col(study).eqNullSafe(F.col("_s")), "left")
         .drop("_s")
         .withColumn("_repeated", F.coalesce("_repeated", F.array().cast("array<double>")))
     )
@@ -222,11 +225,12 @@ def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity") -> Da
     filled.
     """
     ready = cut_lineage(prepare(rows, fields, polarity=polarity))
-    absent = ready.groupBy("study").agg(
+    absent = ready.groupBy(F.col("study").alias("_s")).agg(
         *[F.max(F.coalesce(*[F.col(c) for c in f.group]).isNotNull()).alias(f"_has_{f.name}") for f in fields],
         *[F.percentile_approx(f.name, 0.5).alias(f"_median_{f.name}") for f in fields],
     )
-    joined = ready.join(absent.withColumnRenamed("study", "_s"), F.col("study").eqNullSafe(F.col("_s"))).drop("_s")
+    # One row for each study: beside a crowded one its rows stay where they are.
+    joined = ready.join(broadcast_if_small(cut_lineage(absent), MOST_STUDIES), F.col("study").eqNullSafe(F.col("_s"))).drop("_s")
     sides = []
     for f in fields:
         level = F.ln(F.coalesce(*[F.col(c) for c in f.companions]))
@@ -297,7 +301,7 @@ def _fill_mode(ready: DataFrame, polarity: str) -> DataFrame:
         best = votes.groupBy(*keys).agg(F.max(F.struct(F.col("n"), -F.col("_one"), F.col("_mode"))).alias("_b"))
         return best.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b._mode").alias(out), (-F.col("_b.col2")).alias(f"{out}_donor"))
 
-    group, study = majority(["study", "pcgroup"], "_by_group"), majority(["study"], "_by_study")
+    group, study = (broadcast_if_small(cut_lineage(majority(*of)), MOST_STUDIES) for of in ((["study", "pcgroup"], "_by_group"), (["study"], "_by_study")))
     return (
         ready.where("_mode IS NULL")
         .select("feature_id", "study", "pcgroup")

@@ -52,7 +52,7 @@ def _usable(c: Column) -> Column:
 
 
 def latest_rows(df: DataFrame, identity: str, loaded: str, columns: list[str]) -> DataFrame:
-    """The row loaded last for each identity, as one hash aggregate instead of a sort."""
+    """The row loaded last for each identity, by one aggregate that is formed in part before the shuffle; no window holds all rows of an identity."""
     order = F.struct(F.col(loaded), *[F.col(c) for c in columns])
     return (
         df.where(F.col(identity).isNotNull())

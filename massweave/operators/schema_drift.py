@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from massweave.operators.roles import ROLE_NAMES
-from massweave.plans.runtime import computed_once, cut_lineage
+from massweave.plans.runtime import computed_once, cut_lineage, small_enough, split_hot
 
 _BARE = str.maketrans("", "", ".?/ ")
 
@@ -76,6 +76,9 @@ _LOOKS = {
     "formula": r"^C\d+H\d+([A-Z][a-z]?\d*)*$",
 }
 
+#: Largest number of files whose routes are sent to all executors.
+MOST_FILES = 20_000
+
 #: Largest distance of the values of two columns that are taken for one, see :func:`learned_roles`.
 ALIKE = 0.6
 
@@ -355,7 +358,13 @@ def unified(records: DataFrame, columns: DataFrame | None = None) -> DataFrame:
     annotations to text, columns without a known role under ``other:...``.  ``n_cast`` counts texts read as numbers, ``n_lost`` values that
     are no number where one is needed.  ``columns`` are those of :func:`file_columns`, with learned roles if there are any.
     """
-    routed = records.join(file_routes(file_columns(records) if columns is None else columns), "file_id", "left")
+    routes = cut_lineage(file_routes(file_columns(records) if columns is None else columns))
+    if small_enough(routes, MOST_FILES):
+        routed = records.join(F.broadcast(routes), "file_id", "left")
+    else:
+        # A file of very many records is dealt out to several tasks.
+        many, routes = split_hot(records, routes, ["file_id"], "row_no")
+        routed = many.join(routes, ["file_id", "_salt"], "left")
     cells = routed.withColumn(
         "_c",
         F.transform(
