@@ -78,6 +78,12 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
     return truncation.judged(table(spark, directory, "documents")).where("cut").select("doc_id")
 
 
+@query
+def p8_limits(spark: SparkSession, directory: str) -> DataFrame:
+    """Hidden limits of the sources, in every way of storing that shows them."""
+    return truncation.hidden_limits(truncation.stored_lengths(table(spark, directory, "documents")))
+
+
 @query
 def p8_sources(spark: SparkSession, directory: str) -> DataFrame:
     """Share of cut texts of each source."""
@@ -97,7 +103,22 @@ _MIX = lambda total: f"""WITH d AS (SELECT {_NAME("source")} AS source, doc_id,
   o AS (SELECT d.*, epochs, rest, SUM(n_tokens) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS e FROM d JOIN p USING (source) WHERE n_tokens > 0),
   used AS (SELECT * FROM (SELECT doc_id, source, n_tokens, (epochs + CASE WHEN e <= rest OR (e - n_tokens < rest AND e - rest < rest - (e - n_tokens)) THEN 1 ELSE 0 END)::INT AS uses FROM o) WHERE uses > 0)"""
 
+_COUNT = lambda c: f"(LENGTH(text) - LENGTH(REPLACE(text, {c}, '')))"
+_ENTITIES = f"4 * {_COUNT(repr('&'))} + 3 * {_COUNT(repr('<'))} + 3 * {_COUNT(repr('>'))} + 5 * {_COUNT(repr(chr(34)))}"
+_ESCAPES = " + ".join(_COUNT(f"chr({n})") for n in (34, 92, 9, 10, 13))
+_RETURNS = f"{_COUNT('chr(10)')} - (LENGTH(text) - LENGTH(REPLACE(text, chr(13) || chr(10), chr(10))))"
+_WAYS = ", ".join(f"('{way}_{unit}', {size} + {more})" for way, more in (("entity", _ENTITIES), ("json", _ESCAPES), ("crlf", _RETURNS)) for unit, size in (("chars", "LENGTH(text)"), ("bytes", "STRLEN(text)")))
+
+_LIMITS = f"""WITH d AS (SELECT DISTINCT doc_id, {_NAME("source")} AS source, text FROM documents
+    WHERE doc_id IS NOT NULL AND REGEXP_MATCHES(text, '[^\\s\\x{{A0}}\\x{{2000}}-\\x{{200B}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]')),
+  l AS (SELECT source, w.way, w.size::BIGINT AS size FROM d, LATERAL (SELECT * FROM (VALUES ('chars', LENGTH(text)), ('bytes', STRLEN(text)), {_WAYS}) v(way, size)) w WHERE source IS NOT NULL),
+  c AS (SELECT source, way, size, COUNT(*) AS texts FROM l GROUP BY ALL),
+  a AS (SELECT *, (SUM(texts) OVER (PARTITION BY source, way ORDER BY size RANGE BETWEEN {truncation.LIMIT_AROUND} PRECEDING AND {truncation.LIMIT_AROUND} FOLLOWING) - texts) / {2.0 * truncation.LIMIT_AROUND} + 0.5 AS mean,
+    COALESCE(SUM(texts) OVER (PARTITION BY source, way ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS longer FROM c)"""
+
 SQL: dict[str, str] = {
+    "p8_limits": f"""{_LIMITS} SELECT source, way, size, texts FROM a
+      WHERE texts >= {truncation.LIMIT_OVER} * mean AND texts >= mean + {truncation.LIMIT_DEVIATIONS} * SQRT(mean) AND longer <= texts""",
     "p7_characters": f"{_MIX('most * weights')} SELECT * FROM used",
     "p7_short": f"""{_MIX('everything')}, u AS (SELECT source, SUM(n_tokens * uses)::BIGINT AS used_tokens, COUNT(*) AS n_documents, MAX(uses) AS most_uses FROM used GROUP BY source)
       SELECT source, ROUND(target_share, 6) AS target_share, tokens::BIGINT AS available_tokens, ROUND(budget, 6) AS budget_tokens, max_repeats, COALESCE(used_tokens, 0) AS used_tokens,
@@ -107,5 +128,5 @@ SQL: dict[str, str] = {
 
 QUERIES = {
     "p1_found": p1_found, "p1_pairs": p1_pairs, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_characters": p7_characters, "p7_short": p7_short,
-    "p8_found": p8_found, "p8_sources": p8_sources,
+    "p8_found": p8_found, "p8_limits": p8_limits, "p8_sources": p8_sources,
 }

@@ -110,6 +110,14 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
+def stored_lengths(documents: DataFrame) -> DataFrame:
+    """``(source, blank, len_...)`` of every document, each content once for an id."""
+    text = F.coalesce("text", F.lit(""))
+    ways = [F.coalesce(c, F.lit(0)).alias(f"len_{k}") for k, c in lengths(F.col("text")).items()]
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", source_name(F.col("source")).alias("source"), (~text.rlike(NOT_BLANK)).alias("blank"), *ways)
+    return rows.dropDuplicates().drop("doc_id")
+
+
 def hidden_limits(stored: DataFrame) -> DataFrame:
     """``(source, way, size, texts)``: the limits of each source, from ``stored`` with its lengths.
 
