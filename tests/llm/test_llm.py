@@ -283,6 +283,48 @@ def test_features_are_matched_by_rules(spark):
     assert {x.rule for x in found} >= {1, 2, 3, 4, 5} and all(0 < x.confidence < 1 for x in found)
 
 
+def test_chains_of_contested_pairs_are_followed_to_the_end(spark):
+    rows = [(k, k + 100, 2.0 * k - 1) for k in range(1, 5)] + [(k + 1, k + 100, 2.0 * k) for k in range(1, 4)]
+    df = spark.createDataFrame(rows, "feature_id bigint, peak_id bigint, cost double")
+    assert sorted((x.feature_id, x.peak_id) for x in match._mutual(df).collect()) == [(k, k + 100) for k in range(1, 5)]
+    assert match._mutual(df.limit(0)) is None
+    tied = df.withColumn("cost", F.lit(1.0))
+    assert len(match._mutual(tied).collect()) == 4
+
+
+def test_confidence_falls_where_answers_are_given_without_a_partner(spark):
+    r = random.Random(12)
+    a, b, _ = features(300, 1, r)
+    full = {x.rule: x.confidence for x in match.match(*frames(spark, a, b)).collect()}
+    half = {x.rule: x.confidence for x in match.match(*frames(spark, a[:150], b)).collect()}
+    assert half[1] <= full[1] < 1
+
+
+def test_rows_without_study_or_areas_find_their_partner(spark):
+    r = random.Random(21)
+    a, b, truth = features(300, 1, r)
+    width = len(b[0]) - 8 - 1
+    b[5][1], b[5][8 : 8 + width] = None, [None] * width
+    a[10][1] = None
+    rows = {x.peak_id: (x.feature_id, x.rule) for x in match.match(*frames(spark, a, b)).collect()}
+    of_b = {j: i for i, j in truth}
+    assert rows[b[5][0]] == (of_b[b[5][0]], 9)
+    assert any(i == a[10][0] for i, _ in rows.values())
+
+
+def test_other_samples_and_crowded_cells(spark, monkeypatch):
+    r = random.Random(22)
+    a, b, truth = features(200, 1, r)
+    for k, row in enumerate(b):
+        if k % 9 == 0:
+            row[2:5] = [None, None, None]
+    want = sorted((x.feature_id, x.peak_id) for x in match.match(*frames(spark, a, b)).collect())
+    monkeypatch.setattr(runtime, "HOT_ROWS", 3)
+    assert sorted((x.feature_id, x.peak_id) for x in match.match(*frames(spark, a, b)).collect()) == want
+    few = match.match(*frames(spark, a, b), samples=match.SAMPLES[:5], anchor_rows=50)
+    assert len({(x.feature_id, x.peak_id) for x in few.collect()} & truth) > 0.9 * len(truth)
+
+
 def test_matching_of_a_small_study_and_of_nothing(spark):
     r = random.Random(3)
     a, b, truth = features(300, 1, r)
