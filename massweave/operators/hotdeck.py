@@ -1,7 +1,7 @@
 """Filling missing values from similar records of the same group: nearest-neighbour hot deck.
 
 A missing intensity is copied from donors: records of the same study that hold a real value
-in the field.  Records are hash-blocked on their observed mixed features: study and field, and
+in the field.  Records are hash-blocked, by a hash of 64 bits, on their observed mixed features: study and field, and
 inside them ionisation mode and the rounded level of another group's sample.  The distance of
 two records is the difference of their log levels in a companion sample, plus ``OTHER_BLOCK``
 if mode or rounded level differ; the closest donors are found exactly, without forming pairs:
@@ -72,7 +72,7 @@ CELLS = 64
 
 DONOR_LIST = "array<struct<level:double,feature_id:bigint,value:double>>"
 
-_BLOCK = ["_study", "field", "_depth", "_mode", "_side"]
+DONOR_NEAR = "array<struct<gap:double,feature_id:bigint,value:double>>"
 
 
 @dataclass(frozen=True)
@@ -148,53 +148,54 @@ def _weighted_median(near: Column) -> Column:
 
 
 def _nearest(entries: DataFrame) -> DataFrame:
-    """``(*_BLOCK, level, _near)``: up to ``DONORS`` closest donors of a block for every level asked.
+    """``(_block, level, _near)``: up to ``DONORS`` closest donors of a block for every level asked.
 
     ``entries`` are donors (``value`` not NULL) and records that ask, each in its blocks.
     """
-    level, cell = [*_BLOCK, "level"], [*_BLOCK, "_cell"]
     # Few rows of a level survive, on the near side of the shuffle already.
-    few = F.row_number().over(W.partitionBy(*level, "_asks").orderBy("feature_id"))
+    few = F.row_number().over(W.partitionBy("_block", "level", "_asks").orderBy("feature_id"))
     rows = entries.withColumn("_k", few).where(F.col("_k") <= DONORS).where(~F.col("_asks") | (F.col("_k") == 1)).drop("_k")
     rows = rows.withColumn("_cell", F.floor(F.col("level") * CELLS))
     donor = F.when(~F.col("_asks"), F.struct("level", "feature_id", "value"))
     # Donors come first in this order, so records that ask take up no places.
-    donors_first = W.partitionBy(*cell).orderBy("_asks", "level", "feature_id")
-    by_level = W.partitionBy(*cell).orderBy("level", F.col("_asks"), "feature_id")
+    cell = W.partitionBy("_block", "_cell")
+    donors_first, by_level = cell.orderBy("_asks", "level", "feature_id"), cell.orderBy("level", "_asks", "feature_id")
     # The closest lie on at most so many places on a side: all but one of them, and the donors at the level of the last.
     reach = 2 * DONORS - 1
     around = F.collect_list(donor).over(donors_first.rowsBetween(1 - reach, reach))
+    gap = lambda d: F.abs(d["level"] - F.col("level"))
+    near = lambda found: F.slice(
+        F.array_sort(F.transform(F.filter(found, lambda d: gap(d) <= FARTHEST), lambda d: F.struct(gap(d).alias("gap"), d["feature_id"].alias("feature_id"), d["value"].alias("value")))), 1, DONORS
+    )
     marked = (
         rows.withColumn("_around", F.when(~F.col("_asks"), around))
         .withColumn("_place", F.row_number().over(donors_first))
-        .withColumn("_donors", F.count(donor).over(W.partitionBy(*cell)))
+        .withColumn("_donors", F.count(donor).over(cell))
         .withColumn("_before", F.last("_around", ignorenulls=True).over(by_level.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_first", F.max(F.when((F.col("_place") == 1) & ~F.col("_asks"), F.col("_around"))).over(W.partitionBy(*cell)))
+        .withColumn("_first", F.max(F.when((F.col("_place") == 1) & ~F.col("_asks"), F.col("_around"))).over(cell))
+        .withColumn("_head", ~F.col("_asks") & (F.col("_place") <= DONORS))
+        .withColumn("_tail", ~F.col("_asks") & (F.col("_place") > F.col("_donors") - DONORS))
+        .where("_asks OR _head OR _tail")
     )
-    # One row for each cell that has donors; the neighbours' donors are among those of as many such cells.
-    edge = lambda near: F.collect_list(F.when(near, donor))
-    edges = marked.groupBy(*cell).agg(
-        edge(F.col("_place") <= DONORS).alias("_firsts"), edge((F.col("_place") > F.col("_donors") - DONORS) & (F.col("_place") <= F.col("_donors"))).alias("_lasts")
-    )
-    order = W.partitionBy(*_BLOCK).orderBy("_cell")
+    # What is left of a cell: its asking levels with their closest donors inside, and the few donors at its ends.
+    inside = F.when(F.col("_asks"), near(F.coalesce("_before", "_first", F.array().cast(DONOR_LIST))))
+    kept = cut_lineage(marked.select("_block", "_cell", "level", "_asks", inside.alias("_inside"), donor.alias("_donor"), "_head", "_tail"))
+    edges = kept.groupBy("_block", "_cell").agg(F.collect_list(F.when(F.col("_head"), F.col("_donor"))).alias("_firsts"), F.collect_list(F.when(F.col("_tail"), F.col("_donor"))).alias("_lasts"))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     # Cells without donors hold nothing to carry but need what is carried, so distances count donor cells only.
-    edges = edges.withColumn("_n", F.sum((F.size("_lasts") > 0).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    by_count = W.partitionBy(*_BLOCK).orderBy("_n")
-    carried = edges.select(
-        *cell,
+    upto = W.partitionBy("_block").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+    by_count = W.partitionBy("_block").orderBy("_n")
+    carried = edges.withColumn("_n", F.sum((F.size("_lasts") > 0).cast("long")).over(upto)).select(
+        "_block",
+        "_cell",
         # A cell with donors has the number _n itself, one without shares the number of the last one before.
         F.flatten(F.collect_list(some("_lasts")).over(by_count.rangeBetween(-DONORS, 0))).alias("_left"),
         F.flatten(F.collect_list(some("_firsts")).over(by_count.rangeBetween(0, DONORS))).alias("_right"),
     )
-    gap = lambda d: F.abs(d["level"] - F.col("level"))
-    found = F.array_distinct(F.concat(F.coalesce("_before", "_first", F.array().cast(DONOR_LIST)), "_left", "_right"))
-    ranked = F.array_sort(F.transform(F.filter("_found", lambda d: gap(d) <= FARTHEST), lambda d: F.struct(gap(d).alias("gap"), d["feature_id"].alias("feature_id"), d["value"].alias("value"))))
     return (
-        marked.where("_asks")
-        .join(carried, cell)
-        .withColumn("_found", found)
-        .select(*level, F.slice(ranked, 1, DONORS).alias("_near"))
+        kept.where("_asks")
+        .join(carried, ["_block", "_cell"])
+        .select("_block", "level", F.slice(F.array_sort(F.array_distinct(F.concat("_inside", near(F.array_distinct(F.concat("_left", "_right")))))), 1, DONORS).alias("_near"))
     )
 
 
@@ -245,23 +246,23 @@ def fill(rows: DataFrame, fields: list[Field], polarity: str = "polarity") -> Da
                 F.coalesce(F.floor(side), F.lit(-1000)).alias("_side"),
             )
         )
-    # No key is NULL: a study without a name has a mark of its own.
+    # A study without a name has a mark of its own.
     study = F.coalesce(F.concat(F.lit("="), F.col("study").cast("string")), F.lit("")).alias("_study")
     cells = joined.select("feature_id", study, F.coalesce("_mode", F.lit("")).alias("_mode"), F.explode(F.array(*sides)).alias("_c")).select("feature_id", "_study", "_mode", "_c.*")
     cells = cut_lineage(cells.where("value IS NOT NULL OR wanted"))
-    # Every record stands in its own block (depth 0) and in its study (depth 1).
-    block = lambda depth, mode, side: F.struct(F.lit(depth).alias("_depth"), mode.alias("_mode"), side.alias("_side"))
-    both = F.explode(F.array(block(0, F.col("_mode"), F.col("_side")), block(1, F.lit(""), F.lit(-1000).cast("bigint")))).alias("_b")
-    placed = cells.where("level IS NOT NULL").select("feature_id", "_study", "field", "level", "value", F.col("value").isNull().alias("_asks"), both)
-    placed = placed.select("feature_id", "_study", "field", "level", "value", "_asks", "_b.*")
-    near = _nearest(placed)
-    asking = placed.where("_asks").select("feature_id", *_BLOCK, "level")
-    asking, near = split_hot(asking, near, [*_BLOCK, "level"], "feature_id")
+    # Every record stands in its own block (depth 0) and in its study (depth 1); a block is known by its hash.
+    own, whole = F.xxhash64(F.lit(0), "_study", "field", "_mode", "_side"), F.xxhash64(F.lit(1), "_study", "field")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("_depth"), own.alias("_block")), F.struct(F.lit(1).alias("_depth"), whole.alias("_block")))).alias("_b")
+    placed = cells.where("level IS NOT NULL").select("feature_id", "field", "level", "value", F.col("value").isNull().alias("_asks"), both)
+    placed = placed.select("feature_id", "field", "level", "value", "_asks", "_b.*")
+    near = _nearest(placed.drop("field", "_depth"))
+    asking = placed.where("_asks").select("feature_id", "field", "_depth", "_block", "level")
+    asking, near = split_hot(asking, near, ["_block", "level"], "feature_id")
     # Two short lists for each record.
-    lists = asking.join(near, [*_BLOCK, "level", "_salt"]).groupBy("feature_id", "field").agg(
+    lists = asking.join(near, ["_block", "level", "_salt"]).groupBy("feature_id", "field").agg(
         F.max(F.when(F.col("_depth") == 0, F.col("_near"))).alias("_own"), F.max(F.when(F.col("_depth") == 1, F.col("_near"))).alias("_all")
     )
-    none = F.array().cast("array<struct<gap:double,feature_id:bigint,value:double>>")
+    none = F.array().cast(DONOR_NEAR)
     entry = lambda d, own: F.struct((d["gap"] + (0.0 if own else OTHER_BLOCK)).alias("distance"), d["feature_id"].alias("feature_id"), d["value"].alias("value"), F.lit(own).alias("own"))
     others = F.filter("_all", lambda d: ~F.array_contains(F.transform("_own", lambda o: o["feature_id"]), d["feature_id"]))
     merged = (

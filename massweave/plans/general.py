@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massweave.operators import hotdeck, intervals, schema_drift, units
-from massweave.plans.runtime import query, table
+from massweave.plans.runtime import cut_lineage, query, table
 
 SEGMENT_COLUMNS = ["trace_id", "rtmin", "rtmax", "mzmin", "mzmax"]
 
@@ -53,7 +53,8 @@ def _filled(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     """Fields without a real value, as the hot deck marks them."""
-    return _filled(spark, directory).select("feature_id", "field")
+    # Written first: the planner would leave the donors out of a plan that shows the marks only.
+    return cut_lineage(_filled(spark, directory)).select("feature_id", "field")
 
 
 @query
