@@ -68,7 +68,7 @@ FARTHEST = 1.0
 MOST_STUDIES = 200_000
 
 #: Cells to one unit of log level.
-CELLS = 64
+CELLS = 16
 
 DONOR_LIST = "array<struct<level:double,feature_id:bigint,value:double>>"
 
@@ -180,17 +180,25 @@ def _nearest(entries: DataFrame) -> DataFrame:
     # What is left of a cell: its asking levels with their closest donors inside, and the few donors at its ends.
     inside = F.when(F.col("_asks"), near(F.coalesce("_before", "_first", F.array().cast(DONOR_LIST))))
     kept = cut_lineage(marked.select("_block", "_cell", "level", "_asks", inside.alias("_inside"), donor.alias("_donor"), "_head", "_tail"))
-    edges = kept.groupBy("_block", "_cell").agg(F.collect_list(F.when(F.col("_head"), F.col("_donor"))).alias("_firsts"), F.collect_list(F.when(F.col("_tail"), F.col("_donor"))).alias("_lasts"))
+    edges = kept.groupBy("_block", "_cell").agg(F.collect_list(F.when(F.col("_head"), F.col("_donor"))).alias("_firsts"), F.collect_list(F.when(F.col("_tail"), F.col("_donor"))).alias("_lasts"), F.max("_asks").alias("_wants"))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))
     # Cells without donors hold nothing to carry but need what is carried, so distances count donor cells only.
     upto = W.partitionBy("_block").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
     by_count = W.partitionBy("_block").orderBy("_n")
-    carried = edges.withColumn("_n", F.sum((F.size("_lasts") > 0).cast("long")).over(upto)).select(
-        "_block",
-        "_cell",
-        # A cell with donors has the number _n itself, one without shares the number of the last one before.
-        F.flatten(F.collect_list(some("_lasts")).over(by_count.rangeBetween(-DONORS, 0))).alias("_left"),
-        F.flatten(F.collect_list(some("_firsts")).over(by_count.rangeBetween(0, DONORS))).alias("_right"),
+    place = lambda d: F.floor(d["level"] * CELLS)
+    closest = lambda c, sign, other: F.transform(
+        F.slice(F.array_sort(F.transform(F.filter(c, other), lambda d: F.struct((d["level"] * sign).alias("by"), d["feature_id"].alias("feature_id"), d["value"].alias("value")))), 1, DONORS),
+        lambda d: F.struct((d["by"] * sign).alias("level"), d["feature_id"].alias("feature_id"), d["value"].alias("value")),
+    )
+    # A cell with donors has the number _n itself, one without shares the number of the last one before.
+    left = F.flatten(F.collect_list(some("_lasts")).over(by_count.rangeBetween(-DONORS, 0)))
+    right = F.flatten(F.collect_list(some("_firsts")).over(by_count.rangeBetween(0, DONORS)))
+    carried = (
+        edges.withColumn("_n", F.sum((F.size("_lasts") > 0).cast("long")).over(upto))
+        .withColumn("_left", left)
+        .withColumn("_right", right)
+        .where("_wants")
+        .select("_block", "_cell", closest("_left", -1.0, lambda d: place(d) < F.col("_cell")).alias("_left"), closest("_right", 1.0, lambda d: place(d) > F.col("_cell")).alias("_right"))
     )
     return (
         kept.where("_asks")
