@@ -25,16 +25,16 @@ rule  attributes joined               for
 Within a rule a pair must be the best of both its rows (least cost, then smallest ids); rows
 whose best partner went to another are tried again until no pair is added.
 
-*Confidence.*  Pairs of rule 1 whose rows have one candidate each are the labelled pairs.  A
-hash sample of them, its size a parameter, is put through every rule with the attributes
-masked that the rule does without; rules that take the middle of bounds get the middle of the
-labelled rows' bounds.  Each labelled row stands twice in the sample: with its partner among
-the candidates, where the label is the right answer, and with the partner taken out, where
-every answer is wrong, weighted by the share of rows that rule 1 finds no partner for.  So a
-rule is also charged for answering where there is nothing to be found, which labels alone
-never show.  The precision, smoothed as (right + 1) / (answers + 2), is the confidence of the
-rule's pairs.  Pairs of studies compared in wider windows have a precision of their own,
-measured in those windows and with the shift of all studies together.
+*Confidence.*  Pairs of rule 1 whose rows have one candidate each are the labelled pairs.  All
+of them are put through every rule with the attributes masked that the rule does without;
+rules that take the middle of bounds get the middle of the labelled rows' bounds.  Each
+labelled row is counted twice: with its partner among the candidates, where the label is the
+right answer, and with the partner taken out, where every answer is wrong, weighted by the
+share of rows that rule 1 finds no partner for.  So a rule is also charged for answering where
+there is nothing to be found, which labels alone never show.  The precision, smoothed as
+(right + 1) / (answers + 2), is the confidence of the rule's pairs.  Pairs of studies compared
+in wider windows have a precision of their own, measured in those windows and with the shift
+of all studies together.
 
 Defined results
   * rows delivered again count once (the last by ``loaded_at``, ``exported_at``); rows without
@@ -87,15 +87,6 @@ class Limits:
 #: Anchors a study needs for a calibration of its own.
 LEAST_ANCHORS = 8
 
-#: Rows of the labelled sample that the precision of the rules is measured on, on average.
-LABELLED_ROWS = 20_000
-
-#: Rows of a study that anchors of its calibration are looked for, on average.
-ANCHOR_ROWS = 4_000
-
-#: One in so many labelled rows measures the rule that joins without m/z, which has many candidates.
-SPARSE = 10
-
 #: Areas needed to compare profiles.
 LEAST_AREAS = 3
 
@@ -187,17 +178,25 @@ def _profiled(pairs: DataFrame, n: str, level: str, spread: str, areas: int | No
     )
 
 
+def _may_fit(most: float, areas: int) -> Column:
+    """Whether at least half of the common areas differ by at most ``most``; much cheaper than a profile."""
+    apart = [F.abs(F.get("b_areas", F.lit(k)) - F.get("a_areas", F.lit(k))) for k in range(areas)]
+    return reduce(lambda n, d: n + F.when(d <= most, 1).when(d > most, -1).otherwise(0), apart, F.lit(0)) >= 0
+
+
 def _pairs(
-    a: DataFrame, b: DataFrame, study: bool, ppm: float | None, seconds: float | None, lacking: str | None = None, many: str | None = None, few_b: bool = False
-) -> DataFrame:
+    a: DataFrame, b: DataFrame, study: bool, ppm: float | None, seconds: float | None, lacking: str | None = None, many: str | None = None,
+    measured_by: tuple[Rule, ...] = (), fitting: Column | None = None,
+) -> DataFrame:
     """Pairs of rows that share the cells of the attributes used, with their deviations.
 
     ``lacking`` names the coordinates (columns ``has_...``, joined by a comma) of which at least
     one has to be missing on a side.  ``pr`` in ppm, ``rr`` in seconds, ``n`` common areas, ``level`` and ``spread`` of the
     logarithms of their ratios (median, and 1.48 times the median distance from it).
     ``many`` is the side whose rows of crowded cells are dealt out to several tasks.
-    ``few_b``: the second table is a bounded sample, its rows go to all executors and into the
-    cells, and the first table's are not moved; pairs come with more columns.
+    ``measured_by``: the second table are labelled rows that these rules are measured on; pairs
+    come with the label and what the rules see with attributes masked.  ``fitting`` is a condition
+    that pairs are held to before their profiles are computed.
     """
     left, right, keys, on = _renamed(a, "a"), _renamed(b, "b"), [], []
     if study:
@@ -205,7 +204,7 @@ def _pairs(
         keys.append("_study")
     for c, window in (("mz", None if ppm is None else ppm * 1e-6), ("rt", seconds)):
         if window is not None:
-            here, there = (_cell, _cells) if few_b else (_cells, _cell)
+            here, there = (_cell, _cells) if measured_by else (_cells, _cell)
             spread = lambda side, f, c=c, window=window: F.explode(f(F.col(f"{side}_{c}"), window)) if f is _cells else f(F.col(f"{side}_{c}"), window)
             left = left.where(f"a_{c} IS NOT NULL").withColumn(f"_{c}", spread("a", here))
             right = right.where(f"b_{c} IS NOT NULL").withColumn(f"_{c}", spread("b", there))
@@ -219,14 +218,16 @@ def _pairs(
         right, left = split_hot(right, left, keys, "b_id")
     if many:
         keys.append("_salt")
-    if few_b:
-        right = broadcast_if_small(right, 16 * LABELLED_ROWS)
+    if fitting is not None:
+        on.append(fitting)
     joined = _profiled(left.join(right, keys).where(reduce(lambda x, y: x & y, on, F.lit(True))), "n", "level", "spread")
     more = []
-    if few_b:
+    if not all(r.areas for r in measured_by):
         joined = _profiled(joined, "few_n", "few_level", "few_spread", LEAST_AREAS - 1)
-        more = [
-            "few_n", "few_level", "few_spread", "a_own_ppm", "a_own_seconds", "a_own_level", (F.col("a_study") == F.col("b_study")).alias("same_study"),
+        more = ["few_n", "few_level", "few_spread"]
+    if measured_by:
+        more += [
+            F.col("b_label").alias("label"), "a_own_ppm", "a_own_seconds", "a_own_level", (F.col("a_study") == F.col("b_study")).alias("same_study"),
             ((F.col("b_mid_mz") - F.col("a_mz")) * 1e6).alias("mid_pr"), (F.col("b_mid_rt") - F.col("a_rt")).alias("mid_rr"),
         ]
     return computed_once(
@@ -253,7 +254,8 @@ def calibration(pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     The shift and the level are medians; the drift of RT is a least-squares parabola in
     RT / 1000 through the anchors near the median drift.  Few anchors give a constant.
     """
-    anchors = pairs.where((F.col("n") > LEAST_AREAS) & (F.col("spread") < limits.spread))
+    # Looked for once, read twice.
+    anchors = cut_lineage(pairs.where((F.col("n") > LEAST_AREAS) & (F.col("spread") < limits.spread)).select("study", "rt", "pr", "rr", "level"))
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
     medians = anchors.groupBy("study").agg(middle("pr").alias("shift_ppm"), middle("rr").alias("_drift"), middle("level").alias("_level"))
     x, y = F.col("rt") / 1000, F.col("rr")
@@ -274,9 +276,9 @@ def calibration(pairs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return fit.select("study", "shift_ppm", "level", *drift, F.col("s0").alias("anchors"))
 
 
-def _anchor_rows(a: DataFrame, anchor_rows: int) -> DataFrame:
-    """A hash sample of every study of more than ``anchor_rows`` rows, all rows of the others."""
-    every = a.groupBy("study").agg(F.count(F.lit(1)).alias("_n")).select("study", F.ceil(F.col("_n") / anchor_rows).alias("_every"))
+def _study_sample(a: DataFrame, rows: int) -> DataFrame:
+    """A hash sample of every study of more than ``rows`` rows, all rows of the others."""
+    every = a.groupBy("study").agg(F.count(F.lit(1)).alias("_n")).select("study", F.ceil(F.col("_n") / rows).alias("_every"))
     return a.join(broadcast_if_small(every, 1_000_000), "study").where(F.pmod(F.xxhash64("id"), F.col("_every")) == 0).drop("_every")
 
 
@@ -399,19 +401,22 @@ def match(
     features_a: DataFrame,
     features_b: DataFrame,
     limits: Limits = Limits(),
-    labelled_rows: int = LABELLED_ROWS,
+    labelled_rows: int | None = None,
     samples: tuple[str, ...] = SAMPLES,
     area_prefix: str = "Area_",
-    anchor_rows: int = ANCHOR_ROWS,
+    anchor_rows: int | None = None,
 ) -> DataFrame:
     """``(feature_id, peak_id, rule, cost, confidence)`` of every pair.
 
     ``samples`` are those of the first table that the second one has under ``area_prefix``.
+    Calibration and confidence are measured on all rows, unless the caller asks for a hash
+    sample of about ``anchor_rows`` rows of a study or ``labelled_rows`` labelled rows.
     """
     a = cut_lineage(_side(features_a, "feature_id", "study", "", "loaded_at", samples).drop("mid_mz", "mid_rt"))
     b = cut_lineage(_side(features_b, "peak_id", "study_name", area_prefix, "exported_at", samples))
     full = lambda df: df.where("has_mz AND has_rt AND study IS NOT NULL")
-    wide = _pairs(_anchor_rows(full(a), anchor_rows), full(b), True, limits.wide_ppm, limits.wide_seconds)
+    anchored = full(a) if anchor_rows is None else _study_sample(full(a), anchor_rows)
+    wide = _pairs(anchored, full(b), True, limits.wide_ppm, limits.wide_seconds)
     # No more than a projection of what is written already.
     moved = _moved(a, cut_lineage(calibration(wide, limits)))
 
@@ -431,12 +436,13 @@ def match(
         if rule.number == 1:
             rest_a = cut_lineage(rest_a.join(found.select(F.col("feature_id").alias("id")), "id", "left_anti"))
             rest_b = cut_lineage(rest_b.join(found.select(F.col("peak_id").alias("id")), "id", "left_anti"))
-            alone = found.where("alone AND NOT loose")
-            every = max(1, alone.count() // max(1, labelled_rows))
-            labelled = cut_lineage(alone.where(F.pmod(F.xxhash64("peak_id"), F.lit(every)) == 0).select("feature_id", F.col("peak_id").alias("id")))
+            labelled = found.where("alone AND NOT loose").select("feature_id", F.col("peak_id").alias("id"))
+            if labelled_rows is not None:
+                every = max(1, labelled.count() // max(1, labelled_rows))
+                labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
             usable = F.expr(f"has_mz AND has_rt AND study IS NOT NULL AND size(filter(areas, x -> x IS NOT NULL)) >= {LEAST_AREAS}")
             all_rows, without = (df.agg(F.count_if(usable)).first()[0] for df in (b, rest_b))
-            rules = precision(moved.where("sure"), b, labelled, without / max(1, all_rows - without), dict(groups))
+            rules = precision(moved.where("sure"), b, labelled, without / max(1, all_rows - without), dict(groups), len(samples))
         found = found.withColumn("rule", F.lit(rule.number)).select("feature_id", "peak_id", "rule", "cost", "loose")
         if rule.number > 1:
             later = found if later is None else later.unionByName(found)
@@ -478,22 +484,24 @@ def _as_measured(rule: Rule, sure: bool) -> dict[str, Column]:
     return c
 
 
-def precision(moved: DataFrame, b: DataFrame, labelled: DataFrame, absent: float, groups: dict[bool, Limits]) -> dict[tuple[int, bool], RulePrecision]:
+def precision(
+    moved: DataFrame, b: DataFrame, labelled: DataFrame, absent: float, groups: dict[bool, Limits], areas: int = len(SAMPLES)
+) -> dict[tuple[int, bool], RulePrecision]:
     """Precision of each rule, by its number and whether the study has a calibration of its own.
 
-    ``absent`` is the number of rows without a partner to one with a partner.  The labelled
-    rows meet all rows of ``moved`` twice, over m/z and over study and RT; every rule looks at
-    the same pairs, and a few counts are collected.
+    ``absent`` is the number of rows without a partner to one with a partner.  All labelled rows
+    meet all rows of ``moved`` twice, over m/z and over study and RT; every rule looks at the
+    same pairs, and a few counts are collected.
     """
     rows = cut_lineage(b.join(labelled.select("id", F.col("feature_id").alias("label")), "id"))
-    label = rows.select(F.col("id").alias("peak_id"), "label")
-    widest = max(w.loose_ppm for w in groups.values())
-    near = _pairs(moved.where("has_mz"), rows.drop("label"), False, widest, None, few_b=True)
-    some = rows.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SPARSE)) == 0).drop("label")
-    at_once = _pairs(moved.where("has_rt"), some, True, None, max(w.seconds for w in groups.values()), few_b=True)
+    with_mz, without_mz = tuple(r for r in RULES if r.mz), tuple(r for r in RULES if not r.mz)
+    near = _pairs(moved.where("has_mz"), rows, False, max(w.loose_ppm for w in groups.values()), None, many="b", measured_by=with_mz)
+    # Rules without m/z have many candidates and need fitting areas: half of those lie as near to the level as the spread says.
+    fitting = None if False in groups else _may_fit(groups[True].level + groups[True].spread / 1.4826 + 1e-9, areas)
+    at_once = _pairs(moved.where("has_rt"), rows, True, None, max(w.seconds for w in groups.values()), many="b", measured_by=without_mz, fitting=fitting)
     out = {}
-    for pairs, rules in ((near, [r for r in RULES if r.mz]), (at_once, [r for r in RULES if not r.mz])):
-        best, wanted = [], []
+    for pairs, rules in ((near, with_mz), (at_once, without_mz)):
+        best, wanted, met = [], [], F.lit(False)
         for rule in rules:
             for sure, limits in groups.items():
                 ok, cost = _verdict(rule, limits, _as_measured(rule, sure))
@@ -504,7 +512,9 @@ def precision(moved: DataFrame, b: DataFrame, labelled: DataFrame, absent: float
                 name, answer = f"r{rule.number}_{int(sure)}", F.struct(cost.alias("cost"), "feature_id")
                 best += [F.min(F.when(ok, answer)).alias(name), F.min(F.when(ok & (F.col("feature_id") != F.col("label")), answer)).alias(f"{name}_absent")]
                 wanted.append((rule.number, sure, name))
-        seen = pairs.join(broadcast_if_small(label, 4 * LABELLED_ROWS), "peak_id").groupBy("peak_id", "label").agg(*best)
+                met = met | ok
+        # Pairs that meet no rule are no answers.
+        seen = pairs.where(met).groupBy("peak_id", "label").agg(*best)
         counts = []
         for _, _, name in wanted:
             counts += [

@@ -335,6 +335,19 @@ def test_matching_of_a_small_study_and_of_nothing(spark):
     assert match.match(one.limit(0), two).count() == 0 == match.match(one, two.limit(0)).count()
 
 
+def test_calibration_and_confidence_are_measured_on_all_rows(spark, monkeypatch):
+    r = random.Random(24)
+    a, b, truth = features(150, 1, r, 1e-6)
+    x, y, rare = features(18, 2, r, 18e-6)
+    # 12 of the 5,018 rows of a study have a partner, and a shift far from that of the other study.
+    more = [[30_000 + k, "ST-00002", 2000.0 + k, None, None, 500.0, None, None, *[None] * len(match.SAMPLES), None] for k in range(5000)]
+    seen, precision = {}, match.precision
+    monkeypatch.setattr(match, "precision", lambda moved, b, labelled, *args: seen.update(n=labelled.count(), rules=(out := precision(moved, b, labelled, *args))) or out)
+    found = {(q.feature_id, q.peak_id): q.rule for q in match.match(*frames(spark, a + x + more, b + y)).collect()}
+    assert len(rare) == 12 and all(found.get(pair) == 1 for pair in rare)
+    assert seen["n"] > 100 and seen["rules"][4, True].right > 0.9 * seen["n"]
+
+
 @pytest.mark.parametrize("name,key", [("ST-00001", "1"), ("st_001", "1"), ("Study 14", "14"), ("st2", "2"), ("Pilot", "pilot"), (" ", None), (None, None), ("ST-00000", "st")])
 def test_study_names(spark, name, key):
     assert spark.range(1).select(match.study_key(F.lit(name).cast("string"))).first()[0] == key
